@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, urls
-from .shared import table
+from . import bpe, chat, fingerprint, mixing, urls
+from .shared import cut, n_words, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -31,6 +31,49 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = cut(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    return mixing.mix(sized, F.col("size")).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+OP5_SQL = """
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size, md5(doc_id::varchar) as key from documents),
+s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as k from d group by source),
+r as (select *, case k % 3 when 0 then 1 when 1 then 2 else 3 end as w, 3 * source_size as most from s),
+o as (select *, most / w::double as ratio, sum(source_size) over () as total,
+        coalesce(sum(most) over (order by most / w::double, k rows between unbounded preceding and 1 preceding), 0) as before,
+        sum(w) over (order by most / w::double, k rows between current row and unbounded following) as weights_left from r),
+f as (select *, (total - before)::double / weights_left::double > ratio as full_up from o),
+t as (select source, source_size,
+        case when full_up then most::double
+             else (total - sum(case when full_up then most else 0 end) over ())::double / sum(case when full_up then 0 else w end) over () * w end as target from f),
+e as (select *, case when source_size = 0 then 0 else floor(floor(target) / source_size)::bigint end as epochs from t),
+p as (select d.*, e.source_size, e.target, e.epochs, floor(e.target)::bigint - e.epochs * e.source_size as rest,
+        sum(size) over (partition by d.source order by key, size rows between unbounded preceding and current row) - size as upto
+      from d join e on d.source is not distinct from e.source)
+select doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - upto)))::bigint as taken from p
+"""
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = fingerprint.with_fingerprint(docs, "text", "own")
+    pairs = fingerprint.with_next(own, "doc_id", ["text", "own"])
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
+    both = fingerprint.with_fingerprint(pairs.withColumns({"n_chars": n.cast("long"), "edited": edited}), "edited", "other")
+    return both.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.pack(F.col("own")).alias("fingerprint"),
+        fingerprint.pack(F.col("other")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("own"), F.col("other")).alias("near_edited"),
+        fingerprint.likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+    )
+
+
 #: Rules of op9: (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Blocklist of op9: names of unwanted sites, under each of the registries that the pages come from.
@@ -64,5 +107,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {"op2_chat": op2_chat, "op9_urls": op9_urls, "op10_bpe": op10_bpe}
-ORACLE_SQL = {"op9_urls": OP9_SQL}
+QUERIES = {"op2_chat": op2_chat, "op5_mix": op5_mix, "op8_fingerprints": op8_fingerprints, "op9_urls": op9_urls, "op10_bpe": op10_bpe}
+ORACLE_SQL = {"op5_mix": OP5_SQL, "op9_urls": OP9_SQL}
