@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries each worker keeps for words it has seen.
-CACHE = 1_000_000
+from .shared import CACHE, Cache
 
 
 def byte_letters() -> list[str]:
@@ -37,24 +36,6 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
-class _Cache(dict):
-    """Fills itself. Holds `most` entries at most: when half of them are new, the older ones that nobody asked for go."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.half, self.old = make, most // 2, {}
-
-    def __missing__(self, key):
-        if len(self) >= self.half:
-            self.old = dict(self)
-            self.clear()
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
-        return value
-
-
 class BpeTokenizer:
     """Encodes and decodes as the tokenizer file says. Supported: byte-level BPE with an end-of-word suffix, the normalizers
     NFC, white-space folding and lower-casing, a regex that keeps its matches, and special tokens found in raw text."""
@@ -98,7 +79,7 @@ class BpeTokenizer:
             if z in self.rank or max(self.rank.get(x, -1), self.rank.get(y, -1)) >= rank:
                 raise ValueError("merges are not in the order of training")
             self.merge[x, y], self.left[z], self.right[z], self.rank[z] = rank, x, y, rank
-        self.fits = _Cache(self._fits, 1 << 19)
+        self.fits = Cache(self._fits, 1 << 19)
         whole: dict[int, bool] = {}
         for token in sorted((t for t in vocab.values()), key=lambda t: self.rank.get(t, -1)):
             whole[token] = token not in self.rank or (whole[x := self.left[token]] and whole[y := self.right[token]] and self._first(x, y) >= self.rank[token])
@@ -110,7 +91,7 @@ class BpeTokenizer:
             automaton.add_word(k, (len(k) - 1, v))
         automaton.make_automaton()
         self.matches = automaton.iter
-        self.cache = _Cache(self._chunk, cache)
+        self.cache = Cache(self._chunk, cache)
 
         names = [b""] * (max([*vocab.values(), *special.values()]) + 1)
         for k, v in [*vocab.items(), *special.items()]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, mixing, urls
+from . import bpe, chat, fertility, fingerprint, mixing, quality, urls
 from .shared import cut, n_words, table
 
 
@@ -31,6 +31,12 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, model).select("doc_id", F.coalesce(quality.fold(F.col("doc_id")) == quality.HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = cut(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size")))
     return mixing.mix(sized, F.col("size")).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -55,6 +61,10 @@ select doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 """
 
 
+def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.fertility_rules(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = fingerprint.with_fingerprint(docs, "text", "own")
@@ -107,5 +117,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {"op2_chat": op2_chat, "op5_mix": op5_mix, "op8_fingerprints": op8_fingerprints, "op9_urls": op9_urls, "op10_bpe": op10_bpe}
+QUERIES = {"op2_chat": op2_chat, "op3_quality": op3_quality, "op5_mix": op5_mix, "op7_fertility": op7_fertility, "op8_fingerprints": op8_fingerprints, "op9_urls": op9_urls, "op10_bpe": op10_bpe}
 ORACLE_SQL = {"op5_mix": OP5_SQL, "op9_urls": OP9_SQL}

@@ -11,9 +11,29 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Entries each worker keeps for words it has seen.
+CACHE = 1_000_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+class Cache(dict):
+    """Fills itself. Holds `most` entries at most: when half of them are new, the older ones that nobody asked for go."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.half, self.old = make, most // 2, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: the session's spark.checkpoint.dir; only where that is unset (tests) a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
