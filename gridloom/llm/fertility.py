@@ -5,6 +5,10 @@ text suits it: characters per token, the share of byte-fallback tokens, and the
 if a measure leaves the band of its script (that of most of its letters). Entropy can't exceed the logarithm of the number of
 tokens, so its bound is that share of the logarithm until ENTROPY_TOKENS tokens, and constant from there on.
 
+Where a language column is given, characters per token must also lie in the band of the language: the median over all its texts
+of MIN_WORDS words or more, give or take WIDTH times the median deviation, or WIDTH times the median deviation for a text of this
+many words (deviations times the root of the number of words), whichever is wider. Medians are Spark's approximate percentiles.
+
 Cheap counts come along: words, characters in words, symbols, repeated lines, words in repeated three-word windows.
 
 Null texts count as empty: all counts 0, base_failed, not kept. Rows are independent: repeated rows, null ids and extra columns
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import CACHE, Cache
+from .shared import CACHE, Cache, cut
 
 #: Bands by script: least and most characters per token, most byte-fallback share, least entropy as share of its logarithm.
 BANDS = {
@@ -47,6 +51,8 @@ SCRIPTS = {
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: Half the width of a language's band in median deviations, and the least deviation that counts, as share of the median.
+WIDTH, LEAST_DEVIATION = 5.0, 0.005
 
 _MADE = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("kept", "boolean"), ("script", "string"), ("n_tokens", "long"), ("chars_per_token", "double"), ("byte_share", "double"), ("entropy", "double")]
 
@@ -104,10 +110,12 @@ class FertilityRules:
 _loaded: dict[str, FertilityRules] = {}
 
 
-def fertility_rules(docs: DataFrame, model: str, bands: dict[str, tuple[float, float, float, float]] = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, the counts and measures, base_failed and kept for each row. model: path of a SentencePiece vocabulary."""
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    schema = T.StructType([T.StructField("id", source.schema["id"].dataType), *(T.StructField(k, T._parse_datatype_string(v)) for k, v in _MADE)])
+def fertility_rules(docs: DataFrame, model: str, bands: dict[str, tuple[float, float, float, float]] = BANDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """id_col, the counts and measures, base_failed and kept for each row. model: path of a SentencePiece vocabulary.
+    lang_col: None for the bands of scripts only."""
+    lang = F.lit(None).cast("string") if lang_col is None else F.col(lang_col).cast("string")
+    source = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    schema = T.StructType([*source.schema.fields[:2], *(T.StructField(k, T._parse_datatype_string(v)) for k, v in _MADE)])
     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,6 +125,23 @@ def fertility_rules(docs: DataFrame, model: str, bands: dict[str, tuple[float, f
         rules.bands = bands
         for batch in batches:
             made = list(zip(*map(rules.measure, batch.column("text").to_pylist()), strict=True)) or [[] for _ in _MADE]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(v, kinds[k]) for v, (_, k) in zip(made, _MADE, strict=True))], names=["id", *(k for k, _ in _MADE)])
-
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), *(pa.array(v, kinds[k]) for v, (_, k) in zip(made, _MADE, strict=True))], names=["id", "lang", *(k for k, _ in _MADE)])
+
+    measured = source.mapInArrow(run, schema)
+    if lang_col is not None:
+        measured = _by_language(cut(measured))
+    return measured.drop("lang").withColumnRenamed("id", id_col)
+
+
+def _by_language(measured: DataFrame) -> DataFrame:
+    own = F.col("lang").eqNullSafe(F.col("of"))
+    middle = lambda x: F.percentile_approx(x, 0.5)
+    long_enough = measured.where(F.col("n_words") >= MIN_WORDS)
+    medians = cut(long_enough.groupBy(F.col("lang").alias("of")).agg(middle(F.col("chars_per_token")).alias("median")))
+    off = F.abs(F.col("chars_per_token") - F.col("median"))
+    root = F.sqrt(F.col("n_words").cast("double"))
+    widths = cut(long_enough.join(medians, own).groupBy("of", "median").agg(middle(off).alias("wide"), middle(off * root).alias("by_root")))  # a row per language
+    least = F.col("median") * LEAST_DEVIATION
+    bound = WIDTH * F.greatest(F.col("wide"), least, F.col("by_root") / root)
+    fits = F.coalesce(off <= bound, F.lit(True))
+    return measured.join(widths, own, "left").withColumn("kept", F.col("kept") & fits).select(measured.columns)
