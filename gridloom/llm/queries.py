@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fertility, fingerprint, mixing, quality, urls
+from . import bpe, chat, fertility, fingerprint, mixing, neardup, quality, urls
 from .shared import cut, n_words, table
 
 
@@ -15,6 +15,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -117,5 +121,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {"op2_chat": op2_chat, "op3_quality": op3_quality, "op5_mix": op5_mix, "op7_fertility": op7_fertility, "op8_fingerprints": op8_fingerprints, "op9_urls": op9_urls, "op10_bpe": op10_bpe}
+QUERIES = {"op1_neardup": op1_neardup, "op2_chat": op2_chat, "op3_quality": op3_quality, "op5_mix": op5_mix, "op7_fertility": op7_fertility, "op8_fingerprints": op8_fingerprints, "op9_urls": op9_urls, "op10_bpe": op10_bpe}
 ORACLE_SQL = {"op5_mix": OP5_SQL, "op9_urls": OP9_SQL}
