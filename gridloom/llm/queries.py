@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fertility, fingerprint, mixing, neardup, quality, urls
+from . import bpe, chat, fertility, fingerprint, linededup, mixing, neardup, quality, urls
 from .shared import cut, n_words, table
 
 
@@ -41,6 +41,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).select("doc_id", F.coalesce(quality.fold(F.col("doc_id")) == quality.HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = linededup.dedup_lines(docs.withColumn("n_chars", F.length("text").cast("long")), n_chars_col="n_chars", n_deleted_col="n_deleted_lines")
+    return out.select("doc_id", "n_deleted_lines", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = cut(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size")))
     return mixing.mix(sized, F.col("size")).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -121,5 +127,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {"op1_neardup": op1_neardup, "op2_chat": op2_chat, "op3_quality": op3_quality, "op5_mix": op5_mix, "op7_fertility": op7_fertility, "op8_fingerprints": op8_fingerprints, "op9_urls": op9_urls, "op10_bpe": op10_bpe}
+QUERIES = {"op1_neardup": op1_neardup, "op2_chat": op2_chat, "op3_quality": op3_quality, "op4_lines": op4_lines, "op5_mix": op5_mix, "op7_fertility": op7_fertility, "op8_fingerprints": op8_fingerprints, "op9_urls": op9_urls, "op10_bpe": op10_bpe}
 ORACLE_SQL = {"op5_mix": OP5_SQL, "op9_urls": OP9_SQL}
