@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, n_words
 
 #: Rows of a source's range, about: the most that are sorted together.
 RANGE_ROWS = 50_000
@@ -69,3 +69,18 @@ def mix(rows: DataFrame, size: Column, id_col: str = "doc_id", source_col: str =
     cutting = planned.where("range = last").withColumn("upto", F.col("before") + F.sum("size").over(sorted_in))
     cutting = out(cutting, F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("upto") + F.col("size"))))
     return others.unionByName(cutting)
+
+
+def materialize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", n_chars_col: str | None = None, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
+    """The mix itself: each row of docs as often as the mix takes it whole, and the one text in which a source's budget ends once
+    more, up to the last word taken (n_chars_col is then set to its length). Texts without words take no part."""
+    mixed = mix(docs, n_words(F.col(text_col)), id_col, source_col, weights, cap).where("taken > 0")
+    copies = mixed.withColumn("part", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int")), F.when(F.col("taken") % F.col("size") > 0, F.array(F.col("taken") % F.col("size"))).otherwise(F.array().cast("array<bigint>")))))
+    text = F.col(f"row.`{text_col}`")
+    # a word with the white space before it, so that joining the first of them gives the text's beginning
+    begun = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("part").cast("int")), "")
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    columns[text_col] = F.when(F.col("part") == 0, text).otherwise(begun)
+    if n_chars_col is not None:
+        columns[n_chars_col] = F.when(F.col("part") == 0, columns[n_chars_col]).otherwise(F.length(begun).cast("long"))
+    return copies.select(*(v.alias(k) for k, v in columns.items()))

@@ -263,3 +263,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = drawn.select("id", "n", "digest").join(classes, "digest", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, that stand for their class: one for each class, every row with a null id."""
+    kept = near_duplicates(docs, id_col, text_col, percent).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__kept")).distinct()
+    known = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    return known.unionByName(docs.where(F.col(id_col).isNull()))

@@ -141,3 +141,19 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     score = 1 / (1 + F.exp(-(F.lit(model.offset) + F.lit(model.slope) * F.col("difference"))))
     return _measure(texts, model).withColumn("score", score).select(F.col("id").alias(id_col), "difference", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores THRESHOLD or more. One pass, no shuffle."""
+    names = [f"c{k}" for k in range(len(docs.columns))]  # columns may share a name
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressors = model.compressors()
+        for batch in batches:
+            made = np.array([difference((x or "").encode(), compressors) for x in batch.column(at).to_pylist()])
+            score = 1 / (1 + np.exp(-(model.offset + model.slope * made)))
+            yield batch.filter(pa.array(score >= THRESHOLD))
+
+    at = docs.columns.index(text_col)
+    schema = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(names, docs.schema, strict=True)])
+    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns)
