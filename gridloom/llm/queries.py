@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fertility, fingerprint, linededup, mixing, neardup, quality, urls
+from . import bpe, chat, fertility, fingerprint, licenses, linededup, mixing, neardup, quality, urls
 from .shared import cut, n_words, table
 
 
@@ -71,6 +71,10 @@ select doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 """
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.fertility_rules(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -127,5 +131,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
-QUERIES = {"op1_neardup": op1_neardup, "op2_chat": op2_chat, "op3_quality": op3_quality, "op4_lines": op4_lines, "op5_mix": op5_mix, "op7_fertility": op7_fertility, "op8_fingerprints": op8_fingerprints, "op9_urls": op9_urls, "op10_bpe": op10_bpe}
+QUERIES = {"op1_neardup": op1_neardup, "op2_chat": op2_chat, "op3_quality": op3_quality, "op4_lines": op4_lines, "op5_mix": op5_mix, "op6_licenses": op6_licenses, "op7_fertility": op7_fertility, "op8_fingerprints": op8_fingerprints, "op9_urls": op9_urls, "op10_bpe": op10_bpe}
 ORACLE_SQL = {"op5_mix": OP5_SQL, "op9_urls": OP9_SQL}
