@@ -3,7 +3,7 @@
 Texts and templates are words of letters and digits, lower-cased. Of each template, the winnowed hashes of its three-word grams
 (the least of each WINDOW in a row) go to an inverted index; as there are few templates, every worker holds it. A text's grams are
 looked up, all of them; those found give candidates: a template and about where it begins. Each candidate is aligned with the
-text within a band of BAND words around that place (match 2, mismatch and gap -1, best local alignment). It is reported if the
+text within a band around that place, of BAND words or a quarter of the template's if that is more (match 2, mismatch and gap -1, best local alignment). It is reported if the
 matched words cover COVERAGE of the template.
 
 Of overlapping matches of one text, one that lies inside another with more matched words is left out. Null and empty texts match
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GRAM, WINDOW, BAND = 3, 4, 12
+GRAM, WINDOW, BAND = 3, 4, 4
 COVERAGE = 0.8
 
 #: Notices and texts of public licenses.
@@ -132,6 +132,40 @@ class LicenseIndex:
             out = out * n + p
         return np.where(np.minimum.reduce(parts) < 0, -1, out)
 
+    def _aligned(self, ids: np.ndarray, t: int, places: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        """Matches of template t (matched words, begin, end, t); places: where it would begin, and the gram that says so."""
+        template, found = self.templates[t], []
+        size, need = len(template), COVERAGE * len(template)
+        own = np.bincount(template, minlength=len(self.number))
+        left = []
+        for begin, at in places:
+            if found and found[-1][1] <= at < found[-1][2]:
+                continue
+            if begin >= 0 and np.array_equal(ids[begin : begin + size], template):
+                found.append((size, begin, begin + size, t))
+            else:
+                left.append((begin, at))
+        left = self._outside(left, [x[1:3] for x in found]) if found else left
+        band = max(BAND, size // 4)
+        while left:
+            group = [x for x in left if x[0] <= left[0][0] + band]
+            left = left[len(group) :]
+            low = max(0, group[0][0] - band)
+            part = ids[low : group[-1][0] + size + band]
+            if np.minimum(np.bincount(part[part >= 0], minlength=len(own)), own).sum() < need:
+                continue  # too few words of the template
+            matched, a, b = align(template, part, group[0][0] - band - low, group[-1][0] + band - low)
+            if matched >= need:
+                found.append((matched, a + low, b + low, t))
+                left = [x for x in group if x[1] >= b + low] + [x for x in left if not a + low <= x[1] < b + low]
+        return found
+
+    @staticmethod
+    def _outside(places: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        begins, ends = (np.array(v) for v in zip(*sorted(spans), strict=True))
+        k = np.searchsorted(begins, [at for _, at in places], "right") - 1
+        return [x for x, n in zip(places, k, strict=True) if n < 0 or x[1] >= ends[n]]
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
         """Matches: template, coverage, matched words, begin and end (code points)."""
         raw = (text or "").encode().lower()
@@ -141,26 +175,14 @@ class LicenseIndex:
             return []
         grams = self._grams(ids)
         hits = np.flatnonzero((grams >= 0) & np.isin(grams, self.keys))
-        starts: dict[int, list[int]] = {}
+        starts: dict[int, list[tuple[int, int]]] = {}
         for at in hits.tolist():
             for x in range(np.searchsorted(self.keys, grams[at]), np.searchsorted(self.keys, grams[at], "right")):
                 t, k = self.of[x]
-                starts.setdefault(t, []).append(at - k)
+                starts.setdefault(t, []).append((at - k, at))
         found = []
-        for t, begins in starts.items():
-            template, begins = self.templates[t], sorted(set(begins))
-            while begins:
-                group = [b for b in begins if b <= begins[0] + BAND]
-                begins = begins[len(group) :]
-                exact = next((b for b in group if b >= 0 and np.array_equal(ids[b : b + len(template)], template)), None)
-                if exact is not None:
-                    found.append((len(template), exact, exact + len(template), t))
-                    continue
-                low = max(0, group[0] - BAND)
-                part = ids[low : group[-1] + len(template) + BAND]
-                matched, a, b = align(template, part, group[0] - BAND - low, group[-1] + BAND - low)
-                if matched >= COVERAGE * len(template):
-                    found.append((matched, a + low, b + low, t))
+        for t, places in starts.items():
+            found += self._aligned(ids, t, sorted(places))
         if not found:
             return []
         found.sort(key=lambda x: (-x[0], x[3], x[1]))
