@@ -17,9 +17,16 @@ from gridloom.functions.arrays import merge_options
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, missing: str = "NA") -> DataFrame:
-    """A CSV file with a header. `missing` reads as null, an empty field as an empty text. Types are inferred only without a schema."""
-    reader = spark.read.option("header", True).option("nullValue", missing).option("emptyValue", "")
-    return reader.csv(path, schema=schema) if schema else reader.option("inferSchema", True).csv(path)
+    """A CSV file with a header. `missing` reads as null, an empty text field as an empty text. Types are inferred only without a
+    schema."""
+    # the parser turns unquoted empty fields into its null value, so that has to be one that no file holds
+    reader = spark.read.option("header", True).option("nullValue", "\u0001").option("emptyValue", "")
+    if schema is None:
+        found = spark.read.option("header", True).option("nullValue", missing).option("inferSchema", True).csv(path)
+        schema = found.schema
+    rows = reader.csv(path, schema=schema)
+    texts = [f.name for f in rows.schema if isinstance(f.dataType, T.StringType)]
+    return rows.withColumns({c: F.nullif(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit(missing)) for c in texts})
 
 
 def numbered_paths(base: str, numbers: range, extension: str) -> list[str]:
