@@ -2,7 +2,8 @@
 
 Each row gets a hash-random key from its id. The keys of a source are cut into equal ranges; sums of sizes per (source, range)
 give distributed prefix sums, so that a source's budget falls into one known range. Ranges before it are taken whole, ranges
-after it not at all, and only the rows of that one range are sorted. Budgets above a source's size repeat it for whole epochs
+after it not at all, and only the rows of that one range are sorted. There are as many ranges as the root of the number of rows, so
+that neither the ranges of a source nor the rows of a range are many. Budgets above a source's size repeat it for whole epochs
 first. The row in which the budget ends is taken in part, so that each source meets its budget to the word.
 
 Sources sort by code point, null last; weights repeat over them. Targets share the total by weight; a target stops at `cap`
@@ -21,9 +22,6 @@ from pyspark.sql import functions as F
 
 from .shared import cut, n_words
 
-#: Rows of a source's range, about: the most that are sorted together.
-RANGE_ROWS = 50_000
-
 
 def share_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
     """source, source_size -> source, source_size, target. One row per source."""
@@ -44,11 +42,11 @@ def share_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataF
     return capped.select("source", "source_size", F.when(F.col("full"), F.col("most").cast("double")).otherwise(rest * F.col("w")).alias("target"))
 
 
-def mix(rows: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
+def mix(rows: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, ranges: int | None = None) -> DataFrame:
     """A struct `row` of each row's columns, with size, source_size, target (its source's) and taken (words the mix takes)."""
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     keyed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.col(source_col).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), key.alias("key"))
-    ranges = max(1, rows.count() // RANGE_ROWS)
+    ranges = ranges or max(1, int(rows.count() ** 0.5))
     keyed = keyed.withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 2**32 * ranges).cast("long"))
     sums = cut(keyed.groupBy("source", "range").agg(F.sum("size").alias("size")))
     targets = share_targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
