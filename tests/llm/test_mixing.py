@@ -48,12 +48,10 @@ def test_targets_and_cuts(spark, sizes):
         assert sum(r.taken % r.size > 0 for r in own) <= 1  # one row is cut at most
 
 
-def test_many_ranges_give_the_same(spark, monkeypatch):
+def test_any_number_of_ranges_gives_the_same(spark):
     df = spark.createDataFrame(rows_of({"a": 3000, "b": 900}), "doc_id long, text string, source string")
-    take = lambda: {r.doc_id: r.taken for r in mixing.mix(df, n_words(F.col("text"))).select("row.doc_id", "taken").collect()}
-    one = take()
-    monkeypatch.setattr(mixing, "RANGE_ROWS", 10)
-    assert take() == one == take()
+    take = lambda n: {r.doc_id: r.taken for r in mixing.mix(df, n_words(F.col("text")), ranges=n).select("row.doc_id", "taken").collect()}
+    assert take(None) == take(1) == take(500)
 
 
 def test_query_against_sql(spark, sf_dir):
