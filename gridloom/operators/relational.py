@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.session import scratch
+
 
 def recode(column: Column, mapping: dict[str, str]) -> Column:
     """Exact matches replaced; all else, null included, stays."""
@@ -116,10 +118,21 @@ def numbered(df: DataFrame, *order: Column | str, within: list[str] | None = Non
     return df.withColumn(name, F.row_number().over(W.partitionBy(*(within or [])).orderBy(*order)) - 1)
 
 
+def number_all(df: DataFrame, *order: Column | str, name: str = "k") -> DataFrame:
+    """Adds a number from 0 in the given order of all rows. The rows are sorted by ranges and written; each range's number of rows
+    tells where the next one begins. No task holds more than a range."""
+    path = scratch(df.sparkSession, "numbered")
+    df.orderBy(*order).select("*", F.monotonically_increasing_id().alias("__m")).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumn("__p", F.shiftright("__m", 33))
+    sizes = rows.groupBy("__p").agg(F.count("*").alias("__n"))
+    begins = sizes.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__b"))  # a row for each range
+    return rows.join(begins, "__p").withColumn(name, F.col("__b") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m", "__p", "__b")
+
+
 def bind_recycled(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str], right_rows: int) -> DataFrame:
     """Rows side by side; the right table, of right_rows rows, starts anew when it is used up."""
-    b = numbered(right, *right_order, name="__b")
-    return numbered(left, *left_order, name="__a").withColumn("__b", F.col("__a") % right_rows).join(b, "__b").drop("__a", "__b")
+    b = number_all(right, *right_order, name="__b0")
+    return number_all(left, *left_order, name="__a0").withColumn("__b0", F.col("__a0") % right_rows).join(b, "__b0").drop("__a0", "__b0")
 
 
 def newest_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

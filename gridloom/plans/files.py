@@ -10,9 +10,10 @@ from gridloom.functions import text as X
 from gridloom.operators import layers as L
 from gridloom.operators import relational as R
 from gridloom.operators import search as S
+from gridloom.session import scratch
 from gridloom.sources import readers, writers
 
-from .registry import Registry, scratch, table
+from .registry import Registry, table
 from .texts import search_documents
 
 query = Registry()

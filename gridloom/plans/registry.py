@@ -1,7 +1,5 @@
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +26,3 @@ class Registry:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/gridloom-checkpoints"
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom import streaming
@@ -354,7 +353,3 @@ def provider_lookup(spark, sf_dir):
     name = "CartoDB.Positron"
     tile = readers.tile_address(F.col("url"), F.lit(2), F.lit(5), F.lit(3), "acb")
     return readers.provider(readers.providers(spark), name).select(F.lit(name).alias("name"), "url", "attribution", tile.alias("tile"))
-
-
-def window_rank(df: DataFrame, by: Column) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.orderBy(by)))

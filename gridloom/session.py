@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -19,3 +22,9 @@ def get_session(master: str | None = None, **settings: str) -> SparkSession:
     if master:
         builder = builder.master(master)
     return builder.config(map=SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares, spark.checkpoint.dir; a local one only where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/gridloom-checkpoints"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

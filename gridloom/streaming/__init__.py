@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.operators import relational as R
+
 
 def debounce(events: DataFrame, key: str, ts: str, gap: str, value: str, watermark: str | None = None) -> DataFrame:
     """Events of a key with less than `gap` between neighbours become one, with the last value: key, started, n, value."""
@@ -41,4 +42,4 @@ def after_ready(events: DataFrame, ready: DataFrame, key: str, ts: str) -> DataF
 
 def chunks(rows: DataFrame, order: list, size: int) -> DataFrame:
     """Adds batch: the number of the group of `size` rows that a row falls into."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(W.orderBy(*order)) - 1) / size).cast("int"))
+    return R.number_all(rows, *order, name="__k").withColumn("batch", R.chunk_of(F.col("__k"), size)).drop("__k")
