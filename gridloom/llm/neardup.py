@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     involved = members.select("node").unionByName(members.select(F.col("hub").alias("node"))).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = cut(texts.join(involved, "node", "left_semi"))
+    texts = cut(texts.join(involved.hint("merge"), "node", "left_semi"))  # the same plan at every size
     signatures = nodes.select("node", "signature")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -268,5 +268,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, that stand for their class: one for each class, every row with a null id."""
     kept = near_duplicates(docs, id_col, text_col, percent).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__kept")).distinct()
-    known = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    known = docs.where(F.col(id_col).isNotNull()).join(kept.hint("merge"), F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
     return known.unionByName(docs.where(F.col(id_col).isNull()))
