@@ -15,7 +15,8 @@ without words). Texts are linked if their sets' Jaccard similarity is at least P
    filter); pairs that share one are compared as in 3. This finds every link that all pairs would, without forming them.
 5. The classes are those of both sets of links.
 
-A pair at the threshold shares no band with probability (1 - 0.85^ROWS)^BANDS, below 1e-6, and is dropped in 3 with MISS at most.
+A pair at the threshold t shares no band with probability (1 - t^ROWS)^bands: there are as many bands as it takes for MISS at most
+(35 for 80 percent, 24 for 85). It is dropped in 3 with MISS at most.
 
 Nulls: a null text counts as empty. Empty texts are linked with nothing. A row with a null id has no class (component_id null) and
 is kept. Rows that share an id are one document. Extra columns are dropped; an empty table gives no rows.
@@ -37,10 +38,9 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import Cache, cut
 
-SHINGLE, PERCENT = 5, 85
-BANDS, ROWS = 24, 5
+SHINGLE, PERCENT, ROWS = 5, 80, 5
 CHECKS, BATCH = 96, 32
-#: Probability at which a pair is taken not to reach the threshold.
+#: Chance that a pair at the threshold shares no band, at most; and the probability at which a pair is taken not to reach it.
 MISS = 1e-6
 WORDS = 300_000
 
@@ -58,11 +58,15 @@ def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
+def n_bands(percent: int) -> int:
+    return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
+
+
 class Sketcher:
-    def __init__(self, shingle: int = SHINGLE):
-        self.shingle = shingle
+    def __init__(self, shingle: int = SHINGLE, bands: int = 0):
+        self.shingle, self.bands = shingle, bands
         self.word = Cache(xxhash.xxh3_64_intdigest, WORDS).__getitem__
-        self.a, self.b = _constants(BANDS * ROWS + CHECKS)
+        self.a, self.b = _constants(bands * ROWS + CHECKS)
 
     def shingles(self, text: str) -> np.ndarray:
         """Sorted distinct 64-bit hashes of the text's set."""
@@ -91,11 +95,11 @@ class Sketcher:
         if not len(s):
             return 0, None, None, None
         m = self.minima(s)
-        keys = m[: BANDS * ROWS].reshape(BANDS, ROWS)
-        key = np.arange(BANDS, dtype=np.uint64)
+        keys = m[: self.bands * ROWS].reshape(self.bands, ROWS)
+        key = np.arange(self.bands, dtype=np.uint64)
         for k in range(ROWS):
             key = _finish(key * _MIX[0] + keys[:, k])
-        return len(s), xxhash.xxh3_128_digest(s.tobytes()), m[BANDS * ROWS :].astype("<u2").tobytes(), key.view(np.int64).tolist()
+        return len(s), xxhash.xxh3_128_digest(s.tobytes()), m[self.bands * ROWS :].astype("<u2").tobytes(), key.view(np.int64).tolist()
 
 
 def least_matches(percent: int, checks: int = CHECKS, batch: int = BATCH, miss: float = MISS) -> list[int]:
@@ -111,12 +115,12 @@ def least_matches(percent: int, checks: int = CHECKS, batch: int = BATCH, miss:
     return out
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int) -> DataFrame:
     """id, n, digest, signature, bands for each row."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Sketcher(shingle)
+        s = Sketcher(shingle, n_bands(percent))
         for batch in batches:
             made = list(zip(*map(s.sketch, batch.column("text").to_pylist()), strict=True)) or [[]] * 4
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
@@ -230,8 +234,8 @@ def _open_pairs(members: DataFrame, texts: DataFrame, percent: int, shingle: int
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """id_col, n_shingles, component_id, kept for each row. Ids are integers; percent from 85 on for the misses stated above."""
-    drawn = cut(sketches(docs, id_col, text_col, shingle))
+    """id_col, n_shingles, component_id, kept for each row. Ids are integers."""
+    drawn = cut(sketches(docs, id_col, text_col, percent, shingle))
     nodes = cut(drawn.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
 
     keys = nodes.select("node", F.explode("bands").alias("key"))

@@ -16,7 +16,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

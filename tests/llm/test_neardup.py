@@ -74,9 +74,10 @@ def hard_rows():
     return list(enumerate(rows))
 
 
-def test_against_all_pairs(spark, hard_rows):
-    want = brute(hard_rows)
-    assert result(neardup.near_duplicates(spark.createDataFrame(hard_rows, SCHEMA))) == want
+@pytest.mark.parametrize("percent", [80, 85])
+def test_against_all_pairs(spark, hard_rows, percent):
+    want = brute(hard_rows, percent)
+    assert result(neardup.near_duplicates(spark.createDataFrame(hard_rows, SCHEMA), percent=percent)) == want
     assert 20 < sum(v[2] for v in want.values()) < len(hard_rows) - 100
 
 
@@ -113,6 +114,10 @@ def test_edge_cases(spark):
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 9, 10]
 
 
+def test_bands():
+    assert neardup.n_bands(80) == 35 and neardup.n_bands(85) == 24
+
+
 def test_least_matches():
     least = neardup.least_matches(85)
     assert least == sorted(least) and least[0] < 0.85 * neardup.BATCH and least[-1] < 0.85 * neardup.CHECKS

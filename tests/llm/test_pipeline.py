@@ -48,7 +48,7 @@ def test_line_stage(staged):
 
 def test_near_duplicate_stage(staged):
     given, out = staged[2]
-    want = {i for i, (_, _, kept) in brute_classes([(r.doc_id, r.text) for r in given]).items() if kept}
+    want = {i for i, (_, _, kept) in brute_classes([(r.doc_id, r.text) for r in given], 80).items() if kept}
     assert {r.doc_id for r in out} == want and len(out) == len(want)
 
 
