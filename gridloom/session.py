@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -24,7 +26,22 @@ def get_session(master: str | None = None, **settings: str) -> SparkSession:
     return builder.config(map=SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).getOrCreate()
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares, spark.checkpoint.dir; a local one only where that is unset."""
+    """A new path in the folder that the cluster shares, spark.checkpoint.dir; a local one only where that is unset. What is written
+    there is deleted when the driver's process ends while its session is still up."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/gridloom-checkpoints"
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean)
+    _made.append(f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def _clean() -> None:
+    spark = SparkSession.getActiveSession()
+    with contextlib.suppress(Exception):  # the session may be gone: then the folder's owner cleans it
+        for path in _made if spark is not None else ():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
