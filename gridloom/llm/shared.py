@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.session import scratch
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries each worker keeps for words it has seen.
@@ -34,19 +32,10 @@ class Cache(dict):
         return value
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the session's spark.checkpoint.dir; only where that is unset (tests) a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "gridloom-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: later steps don't recompute it, and it survives
-    the loss of any executor. The files stay until the folder is cleaned."""
-    path = f"{shared_dir(df.sparkSession)}/gridloom-{uuid.uuid4().hex}"
+    """Write df as a Parquet table in the shared folder (spark.checkpoint.dir) and read it back: later steps don't recompute it, and
+    it survives the loss of any executor."""
+    path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
