@@ -22,7 +22,7 @@ from .shared import ascii_lower, cut
 
 #: Bits for each key of a level, and hash functions: about 1 false positive in 120.
 BITS, HASHES = 10, 7
-MAX_LEVEL_BYTES = 64 << 20
+MAX_LEVEL_BYTES = 16 << 20
 #: A build that did not end after so many levels is an error.
 MAX_LEVELS = 64
 
