@@ -226,11 +226,12 @@ def _open_pairs(members: DataFrame, texts: DataFrame, percent: int, shingle: int
     rank = F.row_number().over(W.partitionBy("hub", "node").orderBy("df", "e"))
     alone = F.col("size") - F.count("*").over(W.partitionBy("hub", "node"))  # elements of this node only come first
     shared = shared.withColumns({"rank": rank, "alone": alone}).where(F.col("rank") + F.col("alone") <= F.col("prefix"))
-    found = cut(shared.select("hub", "e", "node", "n", "size").join(members, ["hub", "node"]))
-    a, b = (found.select("hub", "e", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "size", "class"))) for k in "ab")
+    found = cut(shared.select("hub", "e", "node", "n", "alone", (F.col("size") - F.col("alone")).alias("rest")).join(members, ["hub", "node"]))
+    a, b = (found.select("hub", "e", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "alone", "rest", "class"))) for k in "ab")
     differ = (F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b"))
-    near_sizes = F.abs(F.col("size_a") - F.col("size_b")) <= slack * (F.col("n_a") + F.col("n_b")) + 1e-6
-    return a.join(b, ["hub", "e"]).where(differ & near_sizes).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    # they differ in all elements that only one of them has, and in as many of the others as their numbers differ by
+    apart = F.col("alone_a") + F.col("alone_b") + F.abs(F.col("rest_a") - F.col("rest_b"))
+    return a.join(b, ["hub", "e"]).where(differ & (apart <= slack * (F.col("n_a") + F.col("n_b")) + 1e-6)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
