@@ -35,6 +35,24 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _escaped_sql(text: str) -> str:
+    return rf"regexp_replace({text}, '([<\[])(\\*)({chat.CONTROL})', '\1\\\2\3', 'g')"
+
+
+_HEAD, _SEP, _END = len(chat.START) + 1, len(chat.SEP), len(chat.END)
+_ROLE = "replace(replace(" + _escaped_sql("role") + r", '\', '\b'), chr(10), '\n')"
+OP2_SQL = f"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o as (select *, lag(role) over (partition by conv_id order by turn nulls first, role, text) as before from t),
+p as (select *, length({_escaped_sql("text")}) + case when before = role then {_SEP} else {_HEAD + _END} + length({_ROLE}) end as chars from o),
+g as (select conv_id, count(*)::bigint as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as turns,
+        coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '') as loss, sum(chars)::bigint as formatted_chars from p group by conv_id)
+select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars from g
+"""
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -132,4 +150,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_neardup": op1_neardup, "op2_chat": op2_chat, "op3_quality": op3_quality, "op4_lines": op4_lines, "op5_mix": op5_mix, "op6_licenses": op6_licenses, "op7_fertility": op7_fertility, "op8_fingerprints": op8_fingerprints, "op9_urls": op9_urls, "op10_bpe": op10_bpe}
-ORACLE_SQL = {"op5_mix": OP5_SQL, "op9_urls": OP9_SQL}
+ORACLE_SQL = {"op2_chat": OP2_SQL, "op5_mix": OP5_SQL, "op9_urls": OP9_SQL}
