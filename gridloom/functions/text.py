@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,18 +62,27 @@ def snippet(text: Column, query: str) -> Column:
     ends at the first delimiter 200 characters after its beginning and the marks, with an ellipsis; where none follows, the last
     character goes. A text without a match stays as it is.
     """
-    start = first_index(text, F.lit(query))
     n = len(query)
-    marked = F.concat(F.substring(text, F.lit(1), start), F.lit(MARK), F.substring(text, start + 1, F.lit(n)), F.lit(MARK_END), F.substring(text, start + 1 + n, F.length(text)))
     upto_delimiter = lambda s: F.length(F.regexp_extract(s, "^[^ ,:]*", 0))
-    back = F.reverse(F.substring(marked, F.lit(1), start))
-    begin = F.when(start < _BEFORE, 0).otherwise(F.when(upto_delimiter(back) < F.length(back), start - upto_delimiter(back)).otherwise(0))
-    clip = begin + len(MARK) + len(MARK_END) + _AFTER
-    tail = F.substring(marked, clip + 1, F.length(marked))
-    found = upto_delimiter(tail) < F.length(tail)
-    end = F.when(clip > F.length(marked), F.length(marked)).when(found, clip + upto_delimiter(tail)).otherwise(F.length(marked) - 1)
-    cut = F.concat(F.substring(marked, begin + 1, end - begin), F.when((clip <= F.length(marked)) & found, "…").otherwise(""))
-    return F.when(start >= 0, cut).otherwise(text)
+
+    def around(m: Column) -> Column:
+        marked = F.concat(F.substring(text, F.lit(1), m), F.lit(MARK), F.substring(text, m + 1, F.lit(n)), F.lit(MARK_END), F.substring(text, m + 1 + n, F.length(text)))
+        back = F.reverse(F.substring(text, F.lit(1), m))
+        begin = F.when(m < _BEFORE, 0).otherwise(_let(upto_delimiter(back), lambda d: F.when(d < m, m - d).otherwise(0)))
+        return _let(F.struct(marked.alias("marked"), begin.alias("begin")), clipped)
+
+    def clipped(x: Column) -> Column:
+        clip, whole = x.begin + len(MARK) + len(MARK_END) + _AFTER, F.length(x.marked)
+        part = lambda end: F.substring(x.marked, x.begin + 1, end - x.begin)
+        to_delimiter = _let(upto_delimiter(F.substring(x.marked, clip + 1, whole)), lambda d: F.when(clip + d < whole, F.concat(part(clip + d), F.lit("…"))).otherwise(part(whole - 1)))
+        return F.when(clip > whole, part(whole)).otherwise(to_delimiter)
+
+    return _let(first_index(text, F.lit(query)), lambda m: F.when(m >= 0, around(m)).otherwise(text))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def quote_regex(text: str) -> str:
