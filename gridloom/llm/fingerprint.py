@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -73,12 +74,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), ((F.size(a) == 0) & (F.size(b) == 0)).cast("double")).otherwise(both)
 
 
-def with_next(df: DataFrame, id_col: str, columns: list[str], range_rows: int = 2000, bounds: int = 256) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, columns: list[str], range_rows: int = 2000, bounds: int = 256, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Adds next_<c> for each of the columns: that of the next row in descending order of id_col (integers, null last; of equal
     ids the order is that of the first column's hash), after the last row that of the first.
 
     Rows go to ranges of ids of about range_rows rows: by at most `bounds` quantiles, each split evenly by value. A row that is the
-    first of its range is also sent to the range before, so no step needs all rows in one task.
+    first of its range is also sent to the range before, so no step needs all rows in one task. prepare adds columns to the rows
+    once it is known where they go; `columns` may name them, except the first.
     """
     keyed = df.withColumn("__k", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
     rows = df.count()
@@ -96,7 +98,8 @@ def with_next(df: DataFrame, id_col: str, columns: list[str], range_rows: int =
     edge = cut(firsts.select("k", "t", F.coalesce(F.lag("__r").over(order), F.min("__r").over(W.partitionBy())).alias("to")))
     whole = keyed.select("*", tie.alias("__t"), F.lit(False).alias("__edge"))
     sent = whole.join(edge, (F.col("k") == F.col("__k")) & (F.col("t") == F.col("__t")), "inner").dropDuplicates(["to"])
-    sent = sent.withColumns({"__r": F.col("to"), "__edge": F.lit(True)}).select(whole.columns)
+    sent = prepare(sent.withColumns({"__r": F.col("to"), "__edge": F.lit(True)}).select(whole.columns))
+    whole = prepare(whole)
     w = W.partitionBy("__r").orderBy("__edge", F.desc("__k"), F.desc("__t"))
     led = whole.unionByName(sent).withColumn("__next", F.lead(F.struct(*columns)).over(w)).where("not __edge")
     return led.select("*", *(F.col(f"__next.{c}").alias(f"next_{c}") for c in columns)).drop("__k", "__r", "__t", "__edge", "__next")

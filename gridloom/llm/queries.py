@@ -99,8 +99,7 @@ def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = fingerprint.with_fingerprint(docs, "text", "own")
-    pairs = fingerprint.with_next(own, "doc_id", ["text", "own"])
+    pairs = fingerprint.with_next(docs, "doc_id", ["text", "own"], prepare=lambda df: fingerprint.with_fingerprint(df, "text", "own"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
