@@ -168,8 +168,8 @@ def test_fields_and_cells(spark):
 
 
 def test_search_and_groups(spark):
-    docs = spark.createDataFrame([("p.html#a", "one", "", "Quarto news"), ("p.html", "Quarto", "", ""), ("q.html", "x", "", "quarot blog"), ("r.html", "y", "", "none")], "href string, title string, section string, text string")
-    hits = S.search(docs, "quarto").collect()
+    docs = spark.createDataFrame([("p.html#a", "one", "", "Garnet news"), ("p.html", "Garnet", "", ""), ("q.html", "x", "", "garent blog"), ("r.html", "y", "", "none")], "href string, title string, section string, text string")
+    hits = S.search(docs, "garnet").collect()
     assert [h.href for h in hits] == ["p.html", "p.html#a"]
     assert S.search(docs, "q").count() == 0 and S.search(docs, None).count() == 0
     ranked = spark.createDataFrame([(f"p.html#{k}", "t", k) for k in range(5)] + [("p.html", "doc", 9), ("q.html#z", "other", 3)], "href string, title string, rank int")
@@ -222,8 +222,8 @@ def test_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 1
     (tmp_path / "listings.json").write_text(json.dumps([{"listing": "/index.html", "items": ["/a.html"]}]))
     assert readers.read_listings(spark, str(tmp_path / "listings.json")).first()["items"] == ["/a.html"]
-    (tmp_path / "post.qmd").write_text('---\ntitle: "Welcome"\ndate: "2025-09-22"\ncategories:\n  - news\n  - code\n---\ntext')
-    post = readers.read_posts(spark, str(tmp_path / "post.qmd")).first()
+    (tmp_path / "post.md").write_text('---\ntitle: "Welcome"\ndate: "2025-09-22"\ncategories:\n  - news\n  - code\n---\ntext')
+    post = readers.read_posts(spark, str(tmp_path / "post.md")).first()
     assert (post.title, post.date, post.categories, post.image) == ("Welcome", datetime.date(2025, 9, 22), ["news", "code"], None)
 
 
