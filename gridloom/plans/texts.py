@@ -162,5 +162,5 @@ def front_matter(spark, sf_dir):
 @query("select c_custkey, row_number() over (order by d desc nulls first, c_custkey) - 1 as idx from (select c_custkey, case when c_custkey % 3 = 0 then null else make_date(2000 + c_nationkey::int, 1, 1) end as d from customer where c_custkey <= 500)")
 def listing_order(spark, sf_dir):
     day = F.when(F.col("c_custkey") % 3 != 0, F.make_date(2000 + F.col("c_nationkey"), F.lit(1), F.lit(1)))
-    posts = table(spark, sf_dir, "customer").where("c_custkey <= 500").select("c_custkey", F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("title"), day.alias("date"), F.array("c_mktsegment").alias("categories"))
+    posts = table(spark, sf_dir, "customer").select("c_custkey", F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("title"), day.alias("date"), F.array("c_mktsegment").alias("categories"))
     return writers.listing_rows(posts).select("c_custkey", F.col("idx").cast("long").alias("idx"))

@@ -55,7 +55,7 @@ def choropleth(df: DataFrame, label: str, values: list[str], id_cols: list[str])
 def listing_rows(posts: DataFrame) -> DataFrame:
     """Posts as a listing page orders and marks them."""
     date_ms = F.unix_millis(F.col("date").cast("timestamp"))
-    return R.numbered(posts.withColumns({"date_ms": date_ms, "categories_code": X.encode_list(F.coalesce("categories", F.array().cast("array<string>")))}), R.newest_first("date"), "title", name="idx")
+    return R.number_all(posts.withColumns({"date_ms": date_ms, "categories_code": X.encode_list(F.coalesce("categories", F.array().cast("array<string>")))}), R.newest_first("date"), "title", name="idx")
 
 
 def write_search_index(docs: DataFrame, path: str) -> None:
