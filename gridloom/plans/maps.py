@@ -206,7 +206,7 @@ select seq, category, layer_id from l where n = 1
  and not exists (select 1 from calls c where c.method = 'clearShapes' and l.category = 'shape' and c.seq > l.seq)""")
 def layer_calls(spark, sf_dir):
     method = F.when(F.col("event_type") == "view", "addMarkers").when(F.col("event_type") == "click", "addCircles").when(F.col("event_type") == "purchase", "removeMarker").when(F.col("event_type") == "signup", "clearShapes").otherwise("unknown")
-    calls = table(spark, sf_dir, "events").where("event_id < 400").select(F.col("event_id").alias("seq"), method.alias("method"), F.when(F.col("user_id") % 5 != 0, F.col("user_id").cast("string")).alias("layer_id"), F.lit(None).cast("string").alias("grp"))
+    calls = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), method.alias("method"), F.when(F.col("user_id") % 5 != 0, F.col("user_id").cast("string")).alias("layer_id"), F.lit(None).cast("string").alias("grp"))
     return L.apply_calls(calls).select("seq", "category", "layer_id")
 
 

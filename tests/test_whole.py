@@ -21,3 +21,20 @@ def test_listing_order_numbers_every_customer(spark, folder):
     order = sorted(day, key=lambda k: (day[k] is not None, -day[k].toordinal() if day[k] else 0, k))
     got = {r.c_custkey: r.idx for r in QUERIES["listing_order"](spark, folder).collect()}
     assert got == {k: idx for idx, k in enumerate(order)}
+
+
+def test_layer_calls_applies_every_event(spark, sf_dir):
+    events = sorted(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "user_id").collect())
+    assert events[-1].event_id >= 400
+    layers = {}
+    for seq, kind, user in events:
+        layer_id = None if user % 5 == 0 else str(user)
+        if kind in ("view", "click"):
+            category = "marker" if kind == "view" else "shape"
+            layers[category, layer_id or f"call {seq}"] = (seq, category, layer_id)
+        elif kind == "purchase" and layer_id:
+            layers.pop(("marker", layer_id), None)
+        elif kind == "signup":
+            layers = {k: v for k, v in layers.items() if k[0] != "shape"}
+    got = [tuple(r) for r in QUERIES["layer_calls"](spark, sf_dir).select("seq", "category", "layer_id").collect()]
+    assert sorted(got) == sorted(layers.values())
