@@ -1,6 +1,7 @@
 """Queries over all rows of their tables, against results worked out here row by row."""
 
 import datetime
+import hashlib
 
 import pytest
 
@@ -38,3 +39,22 @@ def test_layer_calls_applies_every_event(spark, sf_dir):
             layers = {k: v for k, v in layers.items() if k[0] != "shape"}
     got = [tuple(r) for r in QUERIES["layer_calls"](spark, sf_dir).select("seq", "category", "layer_id").collect()]
     assert sorted(got) == sorted(layers.values())
+
+
+def md5_by_page(rows):
+    return {f"p{k // 5}.html" + (f"#s{k % 5}" if k % 5 else ""): hashlib.md5(text.encode()).hexdigest() for k, text in rows}
+
+
+def test_search_index_scan_keeps_whole_texts(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    assert max(len(text) for _, text in docs) > 10_000
+    got = QUERIES["search_index_scan"](spark, sf_dir).collect()
+    assert len(got) == len(docs)
+    assert {r.objectID: r.text_md5 for r in got} == md5_by_page(docs)
+
+
+def test_search_index_scan_leaves_out_empty_pages_only(spark, folder):
+    docs = [(0, "zero"), (1, ""), (2, None), (3, "   "), (4, " " * 150 + "late"), (6, 'six\n"quoted" \\ \u2028 é'), (9, "x" * 50_000)]
+    spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'s' as source", "'en' as lang").write.parquet(f"{folder}/documents.parquet")
+    got = {r.objectID: r.text_md5 for r in QUERIES["search_index_scan"](spark, folder).collect()}
+    assert got == md5_by_page((k, text) for k, text in docs if text and text.strip(" "))
