@@ -6,6 +6,9 @@ looked up, all of them; those found give candidates: a template and about where
 text within a band around that place, of BAND words or a quarter of the template's if that is more (match 2, mismatch and gap -1, best local alignment). It is reported if the
 matched words cover COVERAGE of the template.
 
+A few edits leave a template of less than SHORT words no gram, so these go by single words: every stretch of text, as long as an
+alignment can be, with enough of the template's words is aligned in full. Whatever has an alignment that covers COVERAGE of them is found.
+
 Of overlapping matches of one text, one that lies inside another with more matched words is left out. Null and empty texts match
 nothing. Rows are independent: repeated rows report alike, null ids are kept, extra columns are dropped.
 """
@@ -23,6 +26,7 @@ from pyspark.sql import types as T
 
 GRAM, WINDOW, BAND = 3, 4, 4
 COVERAGE = 0.8
+SHORT = 2 * (GRAM + WINDOW)
 
 #: Notices and texts of public licenses.
 TEMPLATES = {
@@ -79,9 +83,9 @@ def words_of(text: str) -> list[bytes]:
     return _WORD.findall(text.encode().lower())
 
 
-def align(a: np.ndarray, b: np.ndarray, first: int, last: int) -> tuple[int, int, int]:
-    """Best local alignment of a with b on the diagonals first to last (place in b less place in a): matched words, and the span
-    in b. Of equal scores, the one that ends first in a and then in b."""
+def align(a: np.ndarray, b: np.ndarray, first: int, last: int, need: float = 0) -> tuple[int, int, int]:
+    """Best local alignment of a with b on the diagonals first to last (place in b less place in a), of those that match `need`
+    words: matched words, and the span in b. Of equal scores, the one that ends first in a and then in b."""
     width = last - first + 1
     none = (0, 0, -1, -1)  # score, matches, begin, end in b
     row, best = [none] * (width + 2), none
@@ -98,7 +102,7 @@ def align(a: np.ndarray, b: np.ndarray, first: int, last: int) -> tuple[int, int
                 if score - 1 > cell[0]:
                     cell = (score - 1, matches, begin, j)
             new[d + 1] = cell if cell[0] > 0 else none
-            if new[d + 1][0] > best[0]:
+            if new[d + 1][0] > best[0] and new[d + 1][1] >= need:
                 best = new[d + 1]
         row = new
     return best[1], best[2], best[3] + 1
@@ -114,6 +118,8 @@ class LicenseIndex:
             if len(ids) < GRAM:
                 raise ValueError(f"template {name} has fewer than {GRAM} words")
             self.templates.append(ids)
+            if len(ids) < SHORT:
+                continue
             grams = self._grams(ids)
             order = (grams * np.int64(0x5DEECE66D) + 11) & 0xFFFFFFFFFFFF  # the hash that winnowing goes by
             w = min(WINDOW, len(grams))
@@ -122,6 +128,10 @@ class LicenseIndex:
         places.sort()
         self.keys = np.array([x[0] for x in places], dtype=np.int64)
         self.of = [(t, k) for _, t, k in places]
+        self.short = [t for t, ids in enumerate(self.templates) if len(ids) < SHORT]
+        counts = [np.bincount(self.templates[t], minlength=len(self.number)) for t in self.short]
+        self.short_words = np.array(counts, dtype=np.int64).reshape(len(self.short), len(self.number))
+        self.short_need = np.array([COVERAGE * len(self.templates[t]) for t in self.short])
 
     def _grams(self, ids: np.ndarray) -> np.ndarray:
         """A number for each gram, -1 where a word is in no template."""
@@ -160,6 +170,43 @@ class LicenseIndex:
                 left = [x for x in group if x[1] >= b + low] + [x for x in left if not a + low <= x[1] < b + low]
         return found
 
+    def _short(self, ids: np.ndarray, t: int, own: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Matches of the short template t (matched words, begin, end, t); own: how often it has each word."""
+        template = self.templates[t]
+        size, need = len(template), COVERAGE * len(template)
+        reach = 3 * size  # matches count 2 and other words -1, so no alignment is longer
+        at = np.flatnonzero(np.append(own > 0, False)[ids])
+        words, ends = ids[at], np.searchsorted(at, at + reach)
+        held = np.zeros(len(at), dtype=np.int64)
+        for w in np.flatnonzero(own):
+            upto = np.append(0, np.cumsum(words == w))
+            held += np.minimum(upto[ends] - upto[:-1], own[w])
+        whole = at[(words == template[0]) & (at + size <= len(ids))]
+        for k in range(1, size):
+            whole = whole[ids[whole + k] == template[k]]
+        starts, found, left, begin = at[held >= need], [], [], 0
+        for x in whole.tolist():
+            if x >= begin:
+                found.append((size, x, x + size, t))
+                left.append((begin, x))
+                begin = x + size
+        left.append((begin, len(ids)))
+        while left:
+            low, high = left.pop()
+            k = np.searchsorted(starts, low)
+            if k == len(starts) or starts[k] >= high:
+                continue
+            low = int(starts[k])
+            part = ids[low : min(low + 2 * reach, high)]
+            if np.minimum(np.bincount(part[part >= 0], minlength=len(own)), own).sum() >= need:
+                matched, a, b = align(template, part, 1 - size, len(part) - 1, need)
+                if matched:
+                    found.append((matched, low + a, low + b, t))
+                    left += [(low, low + a), (low + b, high)]
+                    continue
+            left.append((low + reach + 1, high))
+        return found
+
     @staticmethod
     def _outside(places: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
         begins, ends = (np.array(v) for v in zip(*sorted(spans), strict=True))
@@ -183,6 +230,9 @@ class LicenseIndex:
         found = []
         for t, places in starts.items():
             found += self._aligned(ids, t, sorted(places))
+        counts = np.bincount(ids[ids >= 0], minlength=len(self.number))
+        for k in np.flatnonzero(np.minimum(self.short_words, counts).sum(axis=1) >= self.short_need):
+            found += self._short(ids, self.short[k], self.short_words[k])
         if not found:
             return []
         found.sort(key=lambda x: (-x[0], x[3], x[1]))
