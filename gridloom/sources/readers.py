@@ -15,6 +15,8 @@ from gridloom.functions import geometry as G
 from gridloom.functions import text as X
 from gridloom.functions.arrays import merge_options
 
+from .tile_catalog import PROVIDERS
+
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, missing: str = "NA") -> DataFrame:
     """A CSV file with a header. `missing` reads as null, an empty text field as an empty text. Types are inferred only without a
@@ -203,33 +205,19 @@ def raster_pixels(images: DataFrame, id_col: str = "id", uri: str = "uri") -> Da
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-#: Tile providers with their variants. An attribution may name another provider in braces.
-PROVIDERS = [
-    ("OpenStreetMap", None, "https://tile.openstreetmap.org/{z}/{x}/{y}.png", "&copy; OpenStreetMap contributors", 19),
-    ("OpenStreetMap", "HOT", "https://{s}.tile.openstreetmap.fr/hot/{z}/{x}/{y}.png", "{attribution.OpenStreetMap}, tiles by HOT", None),
-    ("CartoDB", None, "https://{s}.basemaps.cartocdn.com/{variant}/{z}/{x}/{y}{r}.png", "{attribution.OpenStreetMap} &copy; CARTO", 20),
-    ("CartoDB", "Positron", None, None, None),
-    ("CartoDB", "DarkMatter", None, None, None),
-    ("CartoDB", "Voyager", None, None, None),
-    ("OpenTopoMap", None, "https://{s}.tile.opentopomap.org/{z}/{x}/{y}.png", "Map data: {attribution.OpenStreetMap}, SRTM", 17),
-]
-#: How a variant is written in an address.
-VARIANT_PATHS = {"Positron": "light_all", "DarkMatter": "dark_all", "Voyager": "rastertiles/voyager"}
-
-
 def providers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PROVIDERS, "provider string, variant string, url string, attribution string, max_zoom int")
+    return spark.createDataFrame(PROVIDERS, "provider string, variant string, url string, attribution string, max_zoom int, options map<string,string>")
 
 
 def provider(catalog: DataFrame, name: str, rounds: int = 3) -> DataFrame:
     """url, attribution, max_zoom of "Provider" or "Provider.Variant": the variant's own values, else the provider's; attributions
-    of other providers put in. An unknown name is an error."""
+    of other providers and options put in, but for keys of an account, which stay in braces. An unknown name is an error."""
     base, _, variant = name.partition(".")
     own = catalog.where((F.col("provider") == base) & F.col("variant").isNull())
-    out = own.select("url", "attribution", "max_zoom")
+    out = own.select("url", "attribution", "max_zoom", "options")
     if variant:
-        over = catalog.where((F.col("provider") == base) & (F.col("variant") == variant)).select(*(F.col(c).alias(f"v_{c}") for c in ("url", "attribution", "max_zoom")))
-        out = out.join(over, F.lit(True), "inner").select(*(F.coalesce(f"v_{c}", c).alias(c) for c in ("url", "attribution", "max_zoom")))
+        over = catalog.where((F.col("provider") == base) & (F.col("variant") == variant)).select(*(F.col(c).alias(f"v_{c}") for c in ("url", "attribution", "max_zoom", "options")))
+        out = out.join(over, F.lit(True), "inner").select(*(F.coalesce(f"v_{c}", c).alias(c) for c in ("url", "attribution", "max_zoom")), merge_options(F.col("options"), F.col("v_options")).alias("options"))
     if out.isEmpty():
         raise ValueError(f"no tile provider {name}")
     others = catalog.where("variant is null").select(F.col("provider").alias("__p"), F.col("attribution").alias("__a"))
@@ -237,7 +225,10 @@ def provider(catalog: DataFrame, name: str, rounds: int = 3) -> DataFrame:
         named = F.nullif(F.regexp_extract("attribution", r"\{attribution\.(\w+)\}", 1), F.lit(""))
         out = out.withColumn("__n", named).join(others, F.col("__n") == F.col("__p"), "left")
         out = out.withColumn("attribution", F.when(F.col("__a").isNotNull(), F.replace("attribution", F.concat(F.lit("{attribution."), "__n", F.lit("}")), F.col("__a"))).otherwise(F.col("attribution"))).drop("__n", "__p", "__a")
-    return out.withColumn("url", X.fill_template(F.col("url"), {"variant": F.lit(VARIANT_PATHS.get(variant, variant))}))
+    known = F.filter(F.map_entries("options"), lambda e: ~e.value.startswith("<insert "))
+    url = F.aggregate(known, F.col("url"), lambda u, e: F.replace(u, F.concat(F.lit("{"), e.key, F.lit("}")), e.value))
+    year = X.fill_template(F.col("attribution"), {"year": F.year(F.current_date())})
+    return out.select(X.fill_template(url, {"maxZoom": F.col("max_zoom")}).alias("url"), year.alias("attribution"), "max_zoom")
 
 
 def tile_address(template: Column, x: Column, y: Column, z: Column, subdomains: str = "abc") -> Column:

@@ -6,6 +6,7 @@ import hashlib
 import pytest
 
 from gridloom import plans
+from gridloom.sources import readers
 
 QUERIES = plans.QUERIES
 
@@ -58,3 +59,22 @@ def test_search_index_scan_leaves_out_empty_pages_only(spark, folder):
     spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'s' as source", "'en' as lang").write.parquet(f"{folder}/documents.parquet")
     got = {r.objectID: r.text_md5 for r in QUERIES["search_index_scan"](spark, folder).collect()}
     assert got == md5_by_page((k, text) for k, text in docs if text and text.strip(" "))
+
+
+@pytest.mark.parametrize("name,url,attribution", [
+    ("CartoDB.PositronNoLabels", "https://{s}.basemaps.cartocdn.com/light_nolabels/{z}/{x}/{y}{r}.png", "&copy; OpenStreetMap contributors &copy; CARTO"),
+    ("OpenStreetMap.Mapnik", "https://tile.openstreetmap.org/{z}/{x}/{y}.png", "&copy; OpenStreetMap contributors"),
+    ("HikeBike", "https://tiles.wmflabs.org/hikebike/{z}/{x}/{y}.png", "&copy; OpenStreetMap contributors"),
+    ("MapTilesAPI.OSMFrancais", "https://maptiles.p.rapidapi.com/fr/map/v1/{z}/{x}/{y}.png?rapidapi-key={apikey}", '&copy; <a href="http://www.maptilesapi.com/">MapTiles API</a>, &copy; OpenStreetMap contributors'),
+])
+def test_names_of_the_whole_provider_catalog(spark, name, url, attribution):
+    got = readers.provider(readers.providers(spark), name).first()
+    assert (got.url, got.attribution) == (url, attribution)
+
+
+def test_provider_catalog(spark):
+    rows = readers.providers(spark).collect()
+    bases = {r.provider: r for r in rows if r.variant is None}
+    assert len(bases) == 36 and len(rows) == 233 == len({(r.provider, r.variant) for r in rows})
+    assert all(r.provider in bases for r in rows) and all(r.url and r.attribution for r in bases.values())
+    assert sum(r.provider == "CartoDB" for r in rows) == 11
