@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, forget
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -31,7 +31,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        edges = cut(_star(_star(both, True), False))
+        before, edges = edges, cut(_star(_star(both, True), False))
+        forget(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

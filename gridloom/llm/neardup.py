@@ -11,15 +11,22 @@ without words). Texts are linked if their sets' Jaccard similarity is at least P
    similarity reaches the threshold (uniform prior) is below MISS. Survivors are verified on their full sets.
 4. Links give first classes. Where the members of a hub fall into several classes, the pairs between classes are still open. With
    the difference D(x) between x's and the hub's sets, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles. A link
-   between classes therefore needs a common part of D(x) and D(y), which must show in the rarest elements of each (prefix
-   filter); pairs that share one are compared as in 3. This finds every link that all pairs would, without forming them.
-5. The classes are those of both sets of links.
+   between classes therefore needs a common part of D(x) and D(y), which must show in the first elements of each (prefix filter,
+   those that x has and the hub lacks first, then those that the hub has and x lacks, the rarer ones first of either kind).
+5. An element that members of one class only hold sets them apart from all members of other classes. A member that is apart by
+   too many of these from even the member that is least so is linked with no other class, and goes before any join. So pages of one
+   template, each with words of its own, are settled by counting.
+6. Members that share an element form a group. A group forms its pairs if they are at most PAIRS for each member, and they are
+   compared as in 3. In a larger group the member that is least apart becomes the new hub, all others are compared with it, and 4 to 6
+   start again with the new classes; each time PAIRS grows fourfold, so a group of g members ends after log4(g / PAIRS) rounds at
+   most. No round makes more rows than PAIRS for each member and element, and no link that all pairs would find is lost.
 
 A pair at the threshold t shares no band with probability (1 - t^ROWS)^bands: there are as many bands as it takes for MISS at most
 (35 for 80 percent, 24 for 85). It is dropped in 3 with MISS at most.
 
 Nulls: a null text counts as empty. Empty texts are linked with nothing. A row with a null id has no class (component_id null) and
-is kept. Rows that share an id are one document. Extra columns are dropped; an empty table gives no rows.
+is kept. Rows that share an id are one document. Extra columns are dropped; an empty table gives no rows. Texts of any length are
+read whole: a worker holds one batch of Arrow (bounded in bytes by the session) and the sets of 64 texts.
 """
 
 from __future__ import annotations
@@ -36,13 +43,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Cache, cut
+from .shared import Cache, cut, forget
 
 SHINGLE, PERCENT, ROWS = 5, 80, 5
 CHECKS, BATCH = 96, 32
 #: Chance that a pair at the threshold shares no band, at most; and the probability at which a pair is taken not to reach it.
 MISS = 1e-6
 WORDS = 300_000
+#: Pairs for each member that a group may form before it gets a hub of its own; PAIRS_GROWTH times as many in each further round.
+PAIRS, PAIRS_GROWTH = 16, 4
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -191,47 +200,84 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
 
 
 def _differences(members: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """members: node, hub -> node, hub, n (set size), n_hub, d (the hashes in one of the two sets only)."""
+    """members: node, hub -> node, hub, n (set size), n_hub, own (how many hashes the node has and the hub lacks), d (these, then those
+    that the hub has and the node lacks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent = _Recent(Sketcher(shingle).shingles)
         for batch in batches:
-            sizes, hubs, out = [], [], []
+            sizes, hubs, owns, out = [], [], [], []
             for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
                 x, y = recent.of(x), recent.of(y)
+                own = np.setdiff1d(x, y, assume_unique=True)
                 sizes.append(len(x))
                 hubs.append(len(y))
-                out.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
-            made = [pa.array(sizes, pa.int64()), pa.array(hubs, pa.int64()), pa.array(out, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *made], names=["node", "hub", "n", "n_hub", "d"])
+                owns.append(len(own))
+                out.append(np.concatenate([own, np.setdiff1d(y, x, assume_unique=True)]).view(np.int64))
+            made = [*(pa.array(v, pa.int64()) for v in (sizes, hubs, owns)), pa.array(out, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *made], names=["node", "hub", "n", "n_hub", "own", "d"])
 
     joined = _with_texts(members.select(F.col("node").alias("a"), F.col("hub").alias("b")), texts)
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "node long, hub long, n long, n_hub long, d array<long>")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "node long, hub long, n long, n_hub long, own long, d array<long>")
 
 
-def _open_pairs(members: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """members: node, hub, class. Pairs a, b of different classes under one hub that may still be linked (step 4)."""
+def _open_groups(members: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """members: node, hub, class. The members that may still be linked with one of another class, by the elements e that they share
+    (steps 4 and 5): hub, e, node, class, n, alone, rest, apart, and the group's members, pairs and next (hub)."""
     t = percent / 100
     slack = (1 - t) / (1 + t)  # linked sets differ in at most slack * (|a| + |b|) shingles
-    rows = cut(_differences(members, texts, shingle))
+    rows = cut(_differences(members, texts, shingle).join(members, ["node", "hub"]))
     size = F.size("d").cast("double")
     near = size <= slack * (F.col("n") + F.col("n_hub"))
     most = slack * (1 + 1 / t) * F.col("n")  # the most that n and the size of any partner allow
     # fewest common elements with a partner of another class: a pair has a member that is not linked with the hub
     fewest = F.greatest(F.lit(1.0), F.when(near, F.ceil(size * (1 - slack) / 2 - 1e-6)).otherwise(F.ceil(size - most - 1e-6)).cast("double"))
-    rows = rows.withColumn("prefix", (size - fewest + 1).cast("long")).where("prefix > 0")
-    elements = rows.select("hub", "node", "prefix", "n", F.size("d").cast("long").alias("size"), F.explode("d").alias("e"))
-    common = elements.groupBy("hub", "e").agg(F.count("*").alias("df")).where("df > 1")
-    shared = elements.join(common, ["hub", "e"])
-    rank = F.row_number().over(W.partitionBy("hub", "node").orderBy("df", "e"))
-    alone = F.col("size") - F.count("*").over(W.partitionBy("hub", "node"))  # elements of this node only come first
+    held = rows.withColumn("prefix", (size - fewest + 1).cast("long")).where("prefix > 0")
+    elements = held.select("hub", "node", "class", "prefix", "n", "own", F.size("d").cast("long").alias("size"), F.posexplode("d").alias("at", "e"))
+    holders = elements.groupBy("hub", "e").agg(F.count("*").alias("df"), F.min("class").alias("least"), F.max("class").alias("most"))
+    shared = elements.join(holders.where("least < most").select("hub", "e", "df"), ["hub", "e"])
+    rank = F.row_number().over(W.partitionBy("hub", "node").orderBy(F.col("at") >= F.col("own"), "df", "e"))
+    alone = F.col("size") - F.count("*").over(W.partitionBy("hub", "node"))  # elements of this class only come first
     shared = shared.withColumns({"rank": rank, "alone": alone}).where(F.col("rank") + F.col("alone") <= F.col("prefix"))
-    found = cut(shared.select("hub", "e", "node", "n", "alone", (F.col("size") - F.col("alone")).alias("rest")).join(members, ["hub", "node"]))
-    a, b = (found.select("hub", "e", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "alone", "rest", "class"))) for k in "ab")
+    # linked members differ in all elements that only one of their classes has
+    apart = F.col("alone") - slack * F.col("n")
+    found = cut(shared.select("hub", "e", "node", "class", "n", "alone", (F.col("size") - F.col("alone")).alias("rest"), apart.alias("apart")))
+    least = found.groupBy("hub", "e").agg(F.min("apart").alias("least"))
+    left = cut(found.join(least, ["hub", "e"]).where(F.col("apart") + F.col("least") <= 1e-6).drop("least"))
+    by_class = left.groupBy("hub", "e", "class").agg(F.count("*").alias("c"), F.min(F.struct("apart", "node")).alias("first"))
+    squared = lambda c: c.cast("double") * c
+    pairs = (squared(F.sum("c")) - F.sum(squared(F.col("c")))) / 2
+    groups = by_class.groupBy("hub", "e").agg(F.sum("c").alias("members"), pairs.alias("pairs"), F.min("first").alias("first")).where("pairs > 0")
+    out = cut(left.join(groups.select("hub", "e", "members", "pairs", F.col("first.node").alias("next")), ["hub", "e"]))
+    forget(rows, found, left)
+    return out
+
+
+def _pairs(groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of different classes within the groups that may still be linked."""
+    t = percent / 100
+    a, b = (groups.select("hub", "e", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "alone", "rest", "class"))) for k in "ab")
     differ = (F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b"))
-    # they differ in all elements that only one of them has, and in as many of the others as their numbers differ by
+    # they differ in all elements that only one of their classes has, and in as many of the others as their numbers differ by
     apart = F.col("alone_a") + F.col("alone_b") + F.abs(F.col("rest_a") - F.col("rest_b"))
-    return a.join(b, ["hub", "e"]).where(differ & (apart <= slack * (F.col("n_a") + F.col("n_b")) + 1e-6)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    fits = apart <= (1 - t) / (1 + t) * (F.col("n_a") + F.col("n_b")) + 1e-6
+    return a.join(b, ["hub", "e"]).where(differ & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _hubs(buckets: DataFrame) -> DataFrame:
+    """buckets: key, node, size -> node, hub: each member of a bucket with the one that meets most others in all its buckets."""
+    meets = buckets.groupBy("node").agg(F.sum("size").alias("meets"))
+    hubs = buckets.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", (-F.col("node")).alias("least"))).alias("m")).select("key", (-F.col("m.least")).alias("hub"))
+    return buckets.join(hubs, "key").where("node != hub").select("node", "hub").distinct()
+
+
+def _open_members(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, hub, class for the members of the hubs whose members fall into several classes."""
+    classed = cut(members.join(classes.select("node", "component"), "node", "left").select("node", "hub", F.coalesce("component", "node").alias("class")))
+    several = classed.groupBy("hub").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most")
+    out = cut(classed.join(several.select("hub"), "hub", "left_semi"))
+    forget(classed)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
@@ -242,9 +288,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = nodes.select("node", F.explode("bands").alias("key"))
     crowded = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = cut(keys.join(crowded, "key"))
-    meets = buckets.groupBy("node").agg(F.sum("size").alias("meets"))
-    hubs = buckets.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", (-F.col("node")).alias("least"))).alias("m")).select("key", (-F.col("m.least")).alias("hub"))
-    members = cut(buckets.join(hubs, "key").where("node != hub").select("node", "hub").distinct())
+    members = cut(_hubs(buckets))
 
     involved = members.select("node").unionByName(members.select(F.col("hub").alias("node"))).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -252,17 +296,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signatures = nodes.select("node", "signature")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return cut(_verified(cut(_unlikely_dropped(pairs, signatures, percent)), texts, percent, shingle))
+        likely = cut(_unlikely_dropped(pairs, signatures, percent))
+        links = cut(_verified(likely, texts, percent, shingle))
+        forget(likely)
+        return links
 
     links = linked(members.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    first = components(links)
-    class_of = lambda df, c, out: df.join(first.select(F.col("node").alias(c), F.col("component").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
-    classed = cut(class_of(class_of(members, "node", "class"), "hub", "hub_class"))
-    least, most = F.min(F.least("class", "hub_class")), F.max(F.greatest("class", "hub_class"))
-    open_hubs = classed.groupBy("hub").agg(F.count("*").alias("members"), least.alias("least"), most.alias("most")).where("members > 1 and least < most")
-    open_members = cut(classed.join(open_hubs.select("hub"), "hub", "left_semi").select("node", "hub", "class"))
-    more = linked(cut(_open_pairs(open_members, texts, percent, shingle)))
-    final = components(links.unionByName(more))
+    final = components(links)
+    used, most = [buckets, links, members], PAIRS
+    while not members.isEmpty():
+        still = _open_members(members, final)
+        groups = _open_groups(still, texts, percent, shingle)
+        large = groups.where(F.col("pairs") > F.col("members") * most)
+        again = cut(large.where("node != next").select("node", F.col("next").alias("hub")).distinct())
+        pairs = cut(_pairs(groups.where(F.col("pairs") <= F.col("members") * most), percent).unionByName(again.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct())
+        more = linked(pairs)
+        used += [still, groups, pairs, more, again]
+        members, most = again, most * PAIRS_GROWTH
+        if not more.isEmpty():
+            final = components(final.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    forget(*used, texts)
 
     classes = nodes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = drawn.select("id", "n", "digest").join(classes, "digest", "left")
@@ -271,7 +324,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, that stand for their class: one for each class, every row with a null id."""
-    kept = near_duplicates(docs, id_col, text_col, percent).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__kept")).distinct()
-    known = docs.where(F.col(id_col).isNotNull()).join(kept.hint("merge"), F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return known.unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of docs, all columns, that stand for their class: one for each class, every row with a null id. Of rows that share an
+    id, the one whose columns have the least hash stays."""
+    kept = near_duplicates(docs, id_col, text_col, percent).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    hashed = [F.col(n) for n, f in zip(names, docs.schema, strict=True) if "map<" not in f.dataType.simpleString()]
+    rows = docs.toDF(*names).select(F.struct(*names).alias("row"), F.xxhash64(*hashed).alias("hash"), F.col(names[docs.columns.index(id_col)]).cast("long").alias("id"))
+    known = rows.where("id is not null").join(kept.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min_by("row", "hash").alias("row"))
+    return known.select("row.*").unionByName(rows.where("id is null").select("row.*")).toDF(*docs.columns)

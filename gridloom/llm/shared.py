@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.session import scratch
+from gridloom.session import discard, scratch
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Entries each worker keeps for words it has seen.
-CACHE = 1_000_000
+#: Entries each worker keeps for words it has seen, and the longest word (characters or bytes) that it keeps.
+CACHE, CACHED_WORD = 1_000_000, 64
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 class Cache(dict):
-    """Fills itself. Holds `most` entries at most: when half of them are new, the older ones that nobody asked for go."""
+    """Fills itself. Holds `most` entries at most: when half of them are new, the older ones that nobody asked for go. Keys longer
+    than CACHED_WORD are worked out each time, so the size in bytes is bounded too."""
 
     def __init__(self, make, most: int):
         super().__init__()
         self.make, self.half, self.old = make, most // 2, {}
 
     def __missing__(self, key):
+        if isinstance(key, (str, bytes)) and len(key) > CACHED_WORD:
+            return self.make(key)
         if len(self) >= self.half:
             self.old = dict(self)
             self.clear()
@@ -37,7 +40,15 @@ def cut(df: DataFrame) -> DataFrame:
     it survives the loss of any executor."""
     path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete tables that cut() wrote, once nothing reads them any more. A frame may be given twice."""
+    for df in frames:
+        discard(df.sparkSession, df.cut_path)
 
 
 def n_words(text: Column) -> Column:

@@ -94,7 +94,62 @@ def test_open_pairs_are_found(spark):
     rows = [(0, " ".join(base)), (1, edited(base, 1, rnd)), (2, " ".join(far)), (3, edited(far, 1, rnd))]
     texts = spark.createDataFrame(rows, "node long, text string")
     members = spark.createDataFrame([(1, 0, 0), (2, 0, 2), (3, 0, 3)], "node long, hub long, class long")
-    assert [tuple(r) for r in neardup._open_pairs(members, texts, 85, 5).collect()] == [(2, 3)]
+    assert [tuple(r) for r in neardup._pairs(neardup._open_groups(members, texts, 85, 5), 85).collect()] == [(2, 3)]
+
+
+def templated(n, own, rnd, twins=False, light=0):
+    """n pages of one template of 415 words with words of their own; twins: two of each; light: so many with only 5 own words."""
+    shared = [f"t{k}" for k in range(415)]
+    pages = []
+    for k in range(n):
+        mine = [f"o{rnd.randrange(10**9)}" for _ in range(5 if k < light else own)]
+        at = rnd.randrange(100, 300)
+        pages += [" ".join(shared[:at] + mine + shared[at:])]
+        if twins:
+            pages.append(pages[-1] + " end")
+    return list(enumerate(pages))
+
+
+def formed(spark, monkeypatch, rows, percent=85):
+    """Classes, and how many rows the groups had and pairs were compared in all rounds."""
+    counts = {"groups": 0, "pairs": 0}
+    groups, likely = neardup._open_groups, neardup._unlikely_dropped
+
+    def counted_groups(*a):
+        out = groups(*a)
+        counts["groups"] += out.count()
+        return out
+
+    def counted_pairs(pairs, *a):
+        counts["pairs"] += pairs.count()
+        return likely(pairs, *a)
+
+    monkeypatch.setattr(neardup, "_open_groups", counted_groups)
+    monkeypatch.setattr(neardup, "_unlikely_dropped", counted_pairs)
+    return result(neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), percent=percent)), counts
+
+
+@pytest.mark.parametrize("n", [200, 800, 3200])
+def test_templated_pages_grow_linearly(spark, monkeypatch, n):
+    """Pages just below the threshold: no pair is linked, and no step makes more rows than a multiple of the pages."""
+    rows = templated(n, 46, random.Random(n))
+    got, counts = formed(spark, monkeypatch, rows)
+    assert all(v[1] == i and v[2] for i, v in got.items())
+    assert counts["groups"] <= 2 * n and counts["pairs"] <= 4 * n
+
+
+@pytest.mark.parametrize("kind", [{"twins": True}, {"light": 40}, {"twins": True, "light": 60}])
+def test_templated_pages_with_links(spark, monkeypatch, kind):
+    rows = templated(300, 46, random.Random(3), **kind)
+    got, counts = formed(spark, monkeypatch, rows)
+    assert got == brute(rows)
+    assert counts["pairs"] <= 2 * neardup.PAIRS * len(rows)
+
+
+def test_large_groups_get_hubs_of_their_own(spark, monkeypatch, hard_rows):
+    """The same classes if groups form next to no pairs at first."""
+    monkeypatch.setattr(neardup, "PAIRS", 0.05)
+    assert result(neardup.near_duplicates(spark.createDataFrame(hard_rows, SCHEMA), percent=85)) == brute(hard_rows, 85)
 
 
 def test_edge_cases(spark):
@@ -110,6 +165,9 @@ def test_edge_cases(spark):
     repeated = neardup.near_duplicates(spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "x y z")], SCHEMA))
     assert sorted((r.doc_id, r.component_id, r.kept) for r in repeated.collect()) == [(1, 1, True), (1, 1, True), (2, 2, True)]
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+    tied = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "y"), (1, "c d", "z")], "doc_id long, text string, c0 string").withColumn("id", F.lit(1)).withColumn("row", F.create_map(F.lit(1), F.lit(2)))
+    one = [neardup.keep_representatives(x).collect() for x in (tied, tied.orderBy(F.desc("c0")).coalesce(1))]
+    assert one[0] == one[1] and len(one[0]) == 1
     kept = neardup.keep_representatives(df)
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 9, 10]
 
