@@ -1,6 +1,7 @@
 import random
 import re
 import struct
+import time
 
 import xxhash
 
@@ -27,10 +28,10 @@ def hash_longs(values):
 
 
 def brute(rows):
-    """What stays of each (id, text), place by place."""
-    places, first_gram, first_pair = [], {}, {}
+    """What stays of each (id, text): each place of a fingerprint is held against every earlier one, line by line both ways."""
+    docs, seen = [], {}
     for i, text in sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is None, r[0] or 0, hash_text(r[1]))):
-        lines = [(n, hash_text(x), len(WORD.findall(x))) for n, x in enumerate(text.split("\n"))]
+        lines = [(n, x, len(WORD.findall(x))) for n, x in enumerate(text.split("\n"))]
         lines = [x for x in lines if x[2]]
 
         def reach(k, words, lines=lines):
@@ -41,31 +42,27 @@ def brute(rows):
                     return j - k + 1
             return None
 
-        grams = {k: (n, hash_longs([x[1] for x in lines[k : k + n]])) for k in range(len(lines)) if (n := reach(k, ld.GRAM_WORDS))}
+        grams = {k: (n, hash_longs([hash_text(x[1]) for x in lines[k : k + n]])) for k in range(len(lines)) if (n := reach(k, ld.GRAM_WORDS))}
         chosen = set()
         for k in range(len(lines)):
             n = reach(k, ld.RUN_WORDS)
             inside = [(grams[j][1], j) for j in range(k, k + (n or 0)) if j in grams and j + grams[j][0] <= k + n]
             if inside:
                 chosen.add(min(inside)[1])
-        places.append(((i, text), lines, grams, chosen))
-        for k in range(len(lines)):
-            if k in chosen:
-                first_gram.setdefault(grams[k][1], ((i, text), k))
-            if k + 1 < len(lines):
-                first_pair.setdefault((lines[k][1], lines[k + 1][1]), ((i, text), k))
+        docs.append(((i, text), lines, grams, sorted(chosen)))
     out = {}
-    for doc, lines, grams, chosen in places:
-        joint = [k + 1 < len(lines) and first_pair[lines[k][1], lines[k + 1][1]] != (doc, k) for k in range(len(lines))]
-        seed = [k in chosen and first_gram[grams[k][1]] != (doc, k) for k in range(len(lines))]
-        gone, k = set(), 0
-        while k < len(lines):
-            j = k
-            while joint[j]:
-                j += 1
-            if any(seed[k : j + 1]):
-                gone |= set(range(lines[k][0], lines[j][0] + 1))
-            k = j + 1
+    for doc, lines, grams, chosen in docs:
+        mine, gone = [x[1] for x in lines], set()
+        for k in chosen:
+            n, g = grams[k]
+            for theirs, at in seen.get(g, ()):
+                low, high = 0, n - 1
+                while k - low > 0 and at - low > 0 and mine[k - low - 1] == theirs[at - low - 1]:
+                    low += 1
+                while k + high + 1 < len(mine) and at + high + 1 < len(theirs) and mine[k + high + 1] == theirs[at + high + 1]:
+                    high += 1
+                gone |= set(range(lines[k - low][0], lines[k + high][0] + 1))
+            seen.setdefault(g, []).append((mine, k))
         out[doc] = "\n".join(x for n, x in enumerate(doc[1].split("\n")) if n not in gone)
     return out
 
@@ -111,10 +108,37 @@ def test_first_places_stay_and_short_repeats_too(spark):
     assert got == {2: rows[1][1], 5: "own five\ntail of five", 9: "", 7: rows[3][1], 8: rows[4][1]}
 
 
+def test_matches_extend_along_one_place(spark):
+    """The passage and X stood together, X and Y, Y and Z too; but not the passage, X and Y."""
+    passage = "\n".join(" ".join(f"p{k}{j}" for k in range(12)) for j in range(5))
+    rows = [(1, f"{passage}\nx is here"), (2, "x is here\ny as well"), (3, "y as well\nand z too"), (4, f"own line\n{passage}\nx is here\ny as well\nand z too\ntail")]
+    assert dict(deduped(spark.createDataFrame(rows, SCHEMA))[1]) == dict(rows[:3]) | {4: "own line\ny as well\nand z too\ntail"}
+
+
+def test_passages_of_single_lines_and_blanks(spark):
+    """Lines that are longer than a run, with blanks between; a run that ends within the words of its last fingerprint."""
+    long = [" ".join(f"l{n}w{k}" for k in range(60)) for n in range(4)]
+    short = [f"s{n} a b" for n in range(30)]
+    rows = [(1, "\n\n".join(long)), (2, "own\n" + "\n \n".join(long) + "\nown too"), (3, "\n".join(short)), (4, "x\n" + "\n".join(short[2:29]) + "\ny"), (5, "\n".join(short[9:24])), (6, "same line here, and it has ten words in it\n" * 40)]
+    want = brute(rows)
+    got = dict(deduped(spark.createDataFrame(rows, SCHEMA))[1])
+    assert got == {i: want[i, t] for i, t in rows}
+    assert got[2] == "own\nown too" and got[4] == "x\ny" and got[5] == rows[4][1]  # 45 words stay
+
+
+def test_very_long_texts(spark):
+    """The work grows with the number of lines: 60,000 of them, all repeated, in some ten seconds."""
+    text = "\n".join(f"line {k} of a text that goes on and on for long" for k in range(60_000))
+    began = time.monotonic()
+    got = ld.dedup_lines(spark.createDataFrame([(1, text), (2, "new\n" + text)], SCHEMA), n_deleted_col="deleted").collect()
+    assert {r.doc_id: (r.deleted, len(r.text)) for r in got} == {1: (0, len(text)), 2: (60_000, 3)}
+    assert time.monotonic() - began < 90
+
+
 def test_edge_cases(spark):
     long = "\n".join(" ".join(f"w{k}x{j}" for j in range(9)) for k in range(3000))
     rows = [(1, None, 4), (2, "", 0), (3, "\n \n\t\n", 4), (4, long, 1), (4, long, 1), (None, long, 2), (6, long + "\nnew", 3)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, k int").selectExpr("*", "'a' as id", "'b' as lines", "1 as th")
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int").selectExpr("*", "'a' as id", "'b' as lines", "1 as th", "0 as __runs", "0 as __hash", "0 as __text", "0 as `a.b`", "0 as row", "0 as c0")
     out = ld.dedup_lines(df, n_deleted_col="deleted")
     assert out.columns == [*df.columns, "deleted"]
     got = sorted(((r.doc_id or 0, r.text, r.deleted, r.lines) for r in out.collect()), key=str)
