@@ -5,8 +5,10 @@ each bin keeps the least of the lower bits. An empty bin takes the value of the
 own (optimal densification). The fingerprint packs the BITS lowest bits of each bin as hexadecimal digits. Of two fingerprints
 with a share m of equal bins the estimate is (m - c) / (1 - c) with c = 2^-BITS, the chance of equal bits in unequal bins.
 
-A null text counts as empty. A text without words has an empty fingerprint: alike to its like (1), to all others 0. Equal texts
-have equal fingerprints. All DataFrame functions; no Python on the executors.
+A null text counts as empty. A text without words has an empty fingerprint: alike to its like (1), to all others 0. Equal texts, so
+repeated rows too, have equal fingerprints. Texts of any length are read whole: a task holds the hashes of one text, and sorts them,
+as a fold into bins by array functions would copy all bins for each shingle. Extra columns of any name pass through. An empty table
+gives no rows. All DataFrame functions; no Python on the executors.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, fresh
 
 BINS, BITS, SHINGLE = 256, 8, 5
 _LOW = 64 - (BINS.bit_length() - 1)
 _EMPTY = (1 << _LOW) - 1
 #: Bins that an empty bin tries before it goes through all.
 PROBES = 32
+#: Ranges that with_next() cuts a table into, at most (and as many for null ids): 16 bytes for each are broadcast.
+MAX_RANGES = 1 << 16
 
 
 def _literal(value, kind: str) -> Column:
@@ -43,8 +47,9 @@ def _probes() -> list[list[int]]:
 
 def with_fingerprint(df: DataFrame, text_col: str, name: str) -> DataFrame:
     """Adds `name`, an array of BINS small integers, or an empty one for a text without words."""
-    a, b, c, d, e = (f"__{name}_{x}" for x in "abcde")
-    out = df.withColumn(a, F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
+    prefix = fresh(df)
+    a, b, c, d, e = (f"{prefix}{x}" for x in "abcde")
+    out = df.withColumn(a, F.filter(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
     out = out.withColumn(b, F.transform(a, lambda w: F.xxhash64(w)))
     n = F.size(b)
     out = out.withColumn(c, F.when(n >= SHINGLE, F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*(F.get(b, i + k) for k in range(SHINGLE))))).when(n > 0, F.array(F.xxhash64(b))).otherwise(F.array().cast("array<bigint>")))
@@ -74,32 +79,46 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), ((F.size(a) == 0) & (F.size(b) == 0)).cast("double")).otherwise(both)
 
 
-def with_next(df: DataFrame, id_col: str, columns: list[str], range_rows: int = 2000, bounds: int = 256, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, columns: list[str], range_rows: int = 250, bounds: int = 64, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Adds next_<c> for each of the columns: that of the next row in descending order of id_col (integers, null last; of equal
-    ids the order is that of the first column's hash), after the last row that of the first.
+    ids and null ones the order is that of the first column's hash), after the last row that of the first.
 
-    Rows go to ranges of ids of about range_rows rows: by at most `bounds` quantiles, each split evenly by value. A row that is the
-    first of its range is also sent to the range before, so no step needs all rows in one task. prepare adds columns to the rows
-    once it is known where they go; `columns` may name them, except the first.
+    Rows go to ranges of ids of about range_rows rows, MAX_RANGES at most: by `bounds` quantiles, in each of them by `bounds` quantiles
+    again, and in these evenly by value; rows with a null id go by their hash. There are many more ranges than partitions, so that
+    partitions are alike in size. A row that is the first of its range is also sent to the range before, so no step needs all rows in
+    one task, but rows that share an id do go to one range. prepare adds columns to the rows once it is known where they go; `columns`
+    may name them, except the first.
     """
-    keyed = df.withColumn("__k", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
+    x = fresh(df)
+    k, t, r, outer, inner, edge, following = (f"{x}{c}" for c in ("k", "t", "r", "o", "i", "edge", "next"))
+    number = F.col(id_col).cast("long")
+    keyed = df.withColumns({k: F.coalesce(number, F.lit(-(1 << 63))), t: F.xxhash64(columns[0])})
     rows = df.count()
-    n = max(1, min(bounds, rows // range_rows))
-    split = max(1, rows // (n * range_rows))
-    found = keyed.select(F.percentile_approx("__k", [i / n for i in range(n + 1)], 10 * bounds)).first()[0] or [0, 0]
-    edges = _literal(found[1:-1], "array<bigint>")
-    outer = F.size(F.filter(edges, lambda x: F.col("__k") > x))
-    low, high = F.get(_literal(found[:-1], "array<bigint>"), F.col("__o")), F.get(_literal(found[1:], "array<bigint>"), F.col("__o"))
-    share = (F.col("__k").cast("double") - low.cast("double")) / F.greatest(F.lit(1.0), high.cast("double") - low.cast("double"))
-    keyed = keyed.withColumn("__o", outer).withColumn("__r", F.col("__o").cast("long") * split + F.least(F.lit(split - 1), F.greatest(F.lit(0), F.floor(share * split))).cast("long")).drop("__o")
-    tie = F.xxhash64(columns[0])
-    firsts = cut(keyed.groupBy("__r").agg(F.max(F.struct(F.col("__k"), tie.alias("__t"))).alias("m")).select("__r", F.col("m.__k").alias("k"), F.col("m.__t").alias("t")))
-    order = W.orderBy(F.desc("__r"))
-    edge = cut(firsts.select("k", "t", F.coalesce(F.lag("__r").over(order), F.min("__r").over(W.partitionBy())).alias("to")))
-    whole = keyed.select("*", tie.alias("__t"), F.lit(False).alias("__edge"))
-    sent = whole.join(edge, (F.col("k") == F.col("__k")) & (F.col("t") == F.col("__t")), "inner").dropDuplicates(["to"])
-    sent = prepare(sent.withColumns({"__r": F.col("to"), "__edge": F.lit(True)}).select(whole.columns))
+    n = max(1, min(MAX_RANGES, rows // range_rows))
+    n_outer = min(bounds, n)
+    n_inner = min(bounds, -(-n // n_outer))
+    split = max(1, n // (n_outer * n_inner))
+    middle = lambda found: sorted(set(found[1:-1]))
+    shares = lambda n: [i / n for i in range(n + 1)]
+    found = df.select(F.percentile_approx(number, shares(n_outer), 10 * bounds)).first()[0] or [0, 0]
+    above = lambda edges: F.size(F.filter(edges, lambda v: F.col(k) > v))
+    keyed = keyed.withColumn(outer, above(_literal(middle(found), "array<bigint>")))
+    found = dict(keyed.where(number.isNotNull()).groupBy(outer).agg(F.percentile_approx(k, shares(n_inner), 10 * bounds)).collect())  # a row for each outer range
+    found = [found.get(i, [0, 0]) for i in range(n_outer)]
+    keyed = keyed.withColumn(inner, above(F.get(_literal([middle(v) for v in found], "array<array<bigint>>"), outer)))
+    ends = _literal([[v[0], *middle(v), v[-1]] for v in found], "array<array<bigint>>")
+    low, high = (F.get(F.get(ends, outer), F.col(inner) + at).cast("double") for at in (0, 1))
+    share = (F.col(k).cast("double") - low) / F.greatest(F.lit(1.0), high - low)
+    place = (F.col(outer).cast("long") * (n_inner + 1) + F.col(inner)) * split + F.least(F.lit(split - 1), F.greatest(F.lit(0), F.floor(share * split)))
+    by_hash = F.least(F.lit(n - 1), F.floor((F.col(t).cast("double") / 2.0**64 + 0.5) * n)) - n
+    keyed = keyed.withColumn(r, F.when(number.isNull(), by_hash).otherwise(place).cast("long")).drop(outer, inner)
+    firsts = cut(keyed.groupBy(r).agg(F.max(F.struct(F.col(k).alias("k"), F.col(t).alias("t"))).alias("m")))
+    order = W.orderBy(F.desc(r))  # a row for each range
+    sends = cut(firsts.select("m.k", "m.t", F.coalesce(F.lag(r).over(order), F.min(r).over(W.partitionBy())).alias("to")).select(*(F.col(c).alias(f"{x}{c}_") for c in ("k", "t", "to"))))
+    whole = keyed.withColumn(edge, F.lit(False))
+    sent = whole.join(F.broadcast(sends), (F.col(k) == F.col(f"{k}_")) & (F.col(t) == F.col(f"{t}_"))).dropDuplicates([f"{x}to_"])
+    sent = prepare(sent.withColumns({r: F.col(f"{x}to_"), edge: F.lit(True)}).drop(f"{k}_", f"{t}_", f"{x}to_"))
     whole = prepare(whole)
-    w = W.partitionBy("__r").orderBy("__edge", F.desc("__k"), F.desc("__t"))
-    led = whole.unionByName(sent).withColumn("__next", F.lead(F.struct(*columns)).over(w)).where("not __edge")
-    return led.select("*", *(F.col(f"__next.{c}").alias(f"next_{c}") for c in columns)).drop("__k", "__r", "__t", "__edge", "__next")
+    w = W.partitionBy(r).orderBy(edge, F.desc(k), F.desc(t))
+    led = whole.unionByName(sent).withColumn(following, F.lead(F.struct(*columns)).over(w)).where(~F.col(edge))
+    return led.withColumns({f"next_{c}": F.col(f"{following}.{c}") for c in columns}).drop(k, t, r, edge, following)

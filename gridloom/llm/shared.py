@@ -51,6 +51,14 @@ def forget(*frames: DataFrame) -> None:
         discard(df.sparkSession, df.cut_path)
 
 
+def fresh(df: DataFrame) -> str:
+    """A prefix that no column of df begins with."""
+    prefix = "x_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = f"x{prefix}"
+    return prefix
+
+
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from gridloom.llm import fertility, fingerprint, licenses, quality
 from gridloom.llm.queries import QUERIES, tokenizer_file
 
+from .test_linededup import hash_longs, hash_text
+
 SCHEMA = "doc_id long, text string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -133,10 +135,62 @@ def test_next_rows_over_many_ranges(spark):
             walk.append(ids[int(at[1:])])
             at = follow[at]
         assert at == "t3" and walk == sorted(ids, key=lambda i: (i is None, -(i or 0)))
+    names = ["k", "t", "to", "__k", "x_k", "xx_r", "X_o", "next_text", "m", "edge", "r"]
+    more = df.selectExpr("*", *(f"doc_id as `{c}`" for c in names))
+    assert {r.text: r.next_text for r in fingerprint.with_next(more, "doc_id", ["text"], 2).collect()} == follow
+    assert set(fingerprint.with_next(more, "doc_id", ["text"]).columns) == {*more.columns, "next_text"}
     assert fingerprint.with_next(df.limit(0), "doc_id", ["text"]).count() == 0
     assert fingerprint.with_next(df.limit(1), "doc_id", ["text"]).first().next_text == "t0"
 
 
+def test_next_ranges_are_even(spark):
+    """Clumped ids, null ones too: no range holds many rows."""
+    ids = [*range(3000), *range(10**12, 10**12 + 3000), *(7**k for k in range(5, 22)), *[None] * 3000]
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], SCHEMA)
+    sizes = []
+
+    def sized(d):
+        sizes.append(int(d.groupBy("x_r").count().agg(F.max("count")).first()[0]))
+        return d
+
+    got = fingerprint.with_next(df, "doc_id", ["text"], 50, 8, prepare=sized).collect()
+    assert len({r.next_text for r in got}) == len(ids) and max(sizes) <= 250
+
+
+def brute_fingerprint(text):
+    """Bins of least hashes, densified and packed, step by step."""
+    words = [hash_text(w) for w in WORD.findall(text)]
+    if not words:
+        return ""
+    hashes = [hash_longs(words[k : k + 5]) & (1 << 64) - 1 for k in range(max(1, len(words) - 4))]
+    bins, low = [None] * fingerprint.BINS, 64 - (fingerprint.BINS.bit_length() - 1)
+    for h in hashes:
+        b, rest = ((h >> low) + fingerprint.BINS // 2) % fingerprint.BINS, h & (1 << low) - 1  # bins in the order of signed hashes
+        bins[b] = rest if bins[b] is None else min(bins[b], rest)
+    full = [next(j for j in [b, *order] if bins[j] is not None) for b, order in enumerate(fingerprint._probes())]
+    return "".join(f"{bins[j] & 255:02x}" for j in full)
+
+
+def test_fingerprints_bit_by_bit(spark):
+    texts = ["", " \n", "one", "a b c d", "a b c d e", "a b c d e f", "é  ß\tx " * 9, " ".join(f"w{k % 700}" for k in range(3000)), " ".join(f"u{k}" for k in range(300))]
+    df = fingerprint.with_fingerprint(spark.createDataFrame(list(enumerate(texts)), SCHEMA), "text", "f").select("doc_id", fingerprint.pack(F.col("f")).alias("p"))
+    assert {r.doc_id: r.p for r in df.collect()} == {k: brute_fingerprint(t) for k, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "a b c d e f")], [(3, None), (1, ""), (2, "x y")], [(None, "a"), (None, "b"), (1, "c"), (1, "c")]])
+def test_fingerprint_query_on_small_tables(spark, tmp_path, rows):
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(QUERIES["op8_fingerprints"](spark, str(tmp_path)).collect(), key=str)
+    texts = sorted([(i is not None, i or 0, hash_text(t or ""), t or "") for i, t in rows], reverse=True)
+    want = []
+    for k, (_, i, _, text) in enumerate(texts):
+        following = texts[(k + 1) % len(texts)][3]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        want.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), brute_fingerprint(text), brute_fingerprint(edited)))
+    assert sorted((r.doc_id or 0, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got) == sorted(want)
+
+
 def test_fingerprint_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "a b c"), (4, "a  b c "), (5, "a b d"), (6, "w " * 50_000), (7, " ".join(f"u{k}" for k in range(40_000)))]
     df = fingerprint.with_fingerprint(spark.createDataFrame(rows, SCHEMA), "text", "f").select("doc_id", "f", fingerprint.pack(F.col("f")).alias("p"))
