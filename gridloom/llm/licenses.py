@@ -9,14 +9,19 @@ matched words cover COVERAGE of the template.
 A few edits leave a template of less than SHORT words no gram, so these go by single words: every stretch of text, as long as an
 alignment can be, with enough of the template's words is aligned in full. Whatever has an alignment that covers COVERAGE of them is found.
 
-Of overlapping matches of one text, one that lies inside another with more matched words is left out. Null and empty texts match
-nothing. Rows are independent: repeated rows report alike, null ids are kept, extra columns are dropped.
+Of overlapping matches of one text, one that lies inside another with more matched words is left out; of equal ones the first by
+template stays. Null and empty texts match nothing; an empty table gives no rows. Texts of any length are read whole, a worker holds
+one of them; the work grows with the text and with the places where a template's grams are found. Rows are independent: repeated rows
+report alike, null ids are kept, extra columns are dropped.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,14 @@ COVERAGE = 0.8
 SHORT = 2 * (GRAM + WINDOW)
 
 #: Notices and texts of public licenses.
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+    "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+    "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "mit-notice": "Released under the MIT License.",
@@ -70,12 +83,81 @@ TEMPLATES = {
     ),
     "bsd-2-clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-        "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
-        "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
-        "the following disclaimer in the documentation and/or other materials provided with the distribution."
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution. " + _BSD_DISCLAIMER
+    ),
+    "bsd-3-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of "
+        "the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission. " + _BSD_DISCLAIMER
+    ),
+    "lgpl-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later "
+        "version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "agpl-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."
+    ),
+    "mpl-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+        "with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "cc0-1.0-notice": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this "
+        "software to the public domain worldwide. This software is distributed without any warranty. You should have received a copy "
+        "of the CC0 Public Domain Dedication along with this software. If not, see http://creativecommons.org/publicdomain/zero/1.0/."
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+        "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+        "non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software "
+        "dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the "
+        "public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of "
+        "relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "
+        "AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE "
+        "USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to http://unlicense.org/"
+    ),
+    "zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any "
+        "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including "
+        "commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of "
+        "this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in "
+        "a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions "
+        "must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be "
+        "removed or altered from any source distribution."
+    ),
+    "bsl-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the "
+        "Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do "
+        "so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license "
+        "grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and "
+        "all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable "
+        "object code generated by a source language processor. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR "
+        "IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND "
+        "NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR "
+        "OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
+        "OTHER DEALINGS IN THE SOFTWARE."
     ),
 }
 
+
+def templates_in(folder: str) -> dict[str, str]:
+    """The texts in a folder of the driver as templates, by file name: for whole licenses such as the GPL's, which are not kept here."""
+    return {p.name: p.read_text(encoding="utf-8", errors="replace") for p in sorted(Path(folder).iterdir()) if p.is_file()}
+
+
 _WORD = re.compile(rb"[a-z0-9]+")
 
 
@@ -108,6 +190,43 @@ def align(a: np.ndarray, b: np.ndarray, first: int, last: int, need: float = 0)
     return best[1], best[2], best[3] + 1
 
 
+class Spans:
+    """Stretches of a text, none inside another, that tell whether they hold a place."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.begins, self.ends = [], []
+        for begin, end in sorted(spans):
+            self.begins.append(begin)
+            self.ends.append(end)
+
+    def add(self, begin: int, end: int) -> None:
+        k = bisect.bisect_right(self.begins, begin)
+        self.begins.insert(k, begin)
+        self.ends.insert(k, end)
+
+    def hold(self, at: int) -> bool:
+        k = bisect.bisect_right(self.begins, at) - 1
+        return k >= 0 and at < self.ends[k]
+
+
+def within_earlier(spans: list[tuple[int, int]]) -> list[bool]:
+    """For each span: whether one before it in the list holds all of it. A binary indexed tree keeps, for each begin, the greatest
+    end of the spans so far that begin there or before."""
+    begins = sorted({a for a, _ in spans})
+    greatest, out = [-1] * (len(begins) + 1), []
+    for begin, end in spans:
+        at, most = bisect.bisect_left(begins, begin) + 1, -1
+        k = at
+        while k:
+            most = max(most, greatest[k])
+            k &= k - 1
+        out.append(most >= end)
+        while at < len(greatest):
+            greatest[at] = max(greatest[at], end)
+            at += at & -at
+    return out
+
+
 class LicenseIndex:
     def __init__(self, templates: dict[str, str]):
         words = {k: words_of(v) for k, v in templates.items()}
@@ -155,11 +274,15 @@ class LicenseIndex:
                 found.append((size, begin, begin + size, t))
             else:
                 left.append((begin, at))
-        left = self._outside(left, [x[1:3] for x in found]) if found else left
-        band = max(BAND, size // 4)
-        while left:
-            group = [x for x in left if x[0] <= left[0][0] + band]
-            left = left[len(group) :]
+        spans = Spans(x[1:3] for x in found)
+        queue, band = deque(left), max(BAND, size // 4)
+        while queue:
+            group = [queue.popleft()]
+            while queue and queue[0][0] <= group[0][0] + band:
+                group.append(queue.popleft())
+            group = [x for x in group if not spans.hold(x[1])]
+            if not group:
+                continue
             low = max(0, group[0][0] - band)
             part = ids[low : group[-1][0] + size + band]
             if np.minimum(np.bincount(part[part >= 0], minlength=len(own)), own).sum() < need:
@@ -167,7 +290,8 @@ class LicenseIndex:
             matched, a, b = align(template, part, group[0][0] - band - low, group[-1][0] + band - low)
             if matched >= need:
                 found.append((matched, a + low, b + low, t))
-                left = [x for x in group if x[1] >= b + low] + [x for x in left if not a + low <= x[1] < b + low]
+                spans.add(a + low, b + low)
+                queue.extendleft(x for x in reversed(group[1:]) if x[1] >= b + low)
         return found
 
     def _short(self, ids: np.ndarray, t: int, own: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -207,12 +331,6 @@ class LicenseIndex:
             left.append((low + reach + 1, high))
         return found
 
-    @staticmethod
-    def _outside(places: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        begins, ends = (np.array(v) for v in zip(*sorted(spans), strict=True))
-        k = np.searchsorted(begins, [at for _, at in places], "right") - 1
-        return [x for x, n in zip(places, k, strict=True) if n < 0 or x[1] >= ends[n]]
-
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
         """Matches: template, coverage, matched words, begin and end (code points)."""
         raw = (text or "").encode().lower()
@@ -236,13 +354,13 @@ class LicenseIndex:
         if not found:
             return []
         found.sort(key=lambda x: (-x[0], x[3], x[1]))
-        kept: list[tuple[int, int, int, int]] = []
-        for x in found:
-            if not any(y[1] <= x[1] and x[2] <= y[2] for y in kept):
-                kept.append(x)
+        kept = [x for x, inside in zip(found, within_earlier([x[1:3] for x in found]), strict=True) if not inside]
         spans = [m.span() for m in _WORD.finditer(raw)]
-        chars = lambda at: len(raw[:at].decode("utf-8", "ignore"))
-        return sorted((self.names[t], m / len(self.templates[t]), m, chars(spans[a][0]), chars(spans[b - 1][1])) for m, a, b, t in kept)
+        ends = np.array([(spans[a][0], spans[b - 1][1]) for _, a, b, _ in kept])
+        if not raw.isascii():  # bytes to code points
+            starts_char = (np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80
+            ends = np.append(0, np.cumsum(starts_char))[ends]
+        return sorted((self.names[t], m / len(self.templates[t]), m, a, b) for (m, _, _, t), (a, b) in zip(kept, ends.tolist(), strict=True))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
