@@ -5,12 +5,14 @@ is compressed with either dictionary, and the difference of the two total sizes,
 kind of text it is like. A logistic curve, fitted on labelled rows that the dictionaries have not seen, turns it into the
 probability of a good text.
 
-Fitting reads FIT_ROWS labelled rows (the first by a hash of their id; fewer where there are fewer), SAMPLES blocks of each for
-the dictionaries: the driver holds at most FIT_ROWS * SAMPLES * BLOCK bytes. Scoring reads every whole text.
+Fitting reads whole texts of a bounded sample of labelled rows: of those of FIT_TEXT_BYTES bytes or less, in the order of a hash of
+their id, the first FIT_ROWS (of rows that share an id, the text of least hash), and no more than FIT_BYTES bytes in all (fewer where there are fewer). All their blocks count, so the
+driver holds at most FIT_BYTES. Scoring reads every whole text, however long.
 
 Nulls: a null text counts as empty and gets the score of difference 0; rows with a null label or id are not learnt from.
-Repeated rows score alike; extra columns are dropped. Without labelled rows of both kinds, every score is the share of good
-rows, or 0.5 without any.
+Repeated rows score alike; extra columns are dropped (keep_good keeps them, whatever their names). Rows whose ids have one hash are
+taken by id, then by label. A score at THRESHOLD is good. Without labelled rows of both kinds, every score is the share of good rows, or
+0.5 without any. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut
+from .shared import cut, forget
 
-FIT_ROWS, SAMPLES, BLOCK = 6000, 16, 512
+FIT_ROWS, FIT_BYTES, FIT_TEXT_BYTES, BLOCK = 6000, 32 << 20, 1 << 20, 512
 DICTIONARY_BYTES, LEVEL = 65536, 3
 #: Of the remainders of crc32(id as text) by 4: the one that is never learnt from, and the one that the curve is fitted on.
 HELD_OUT, CALIBRATION = 2, 3
@@ -73,7 +76,7 @@ def _dictionary(samples: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: they are the dictionary themselves
-        return b"".join(samples)[-DICTIONARY_BYTES:]
+        return b"".join(samples)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -101,27 +104,24 @@ def _measure(rows: DataFrame, model: QualityModel) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _sample_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text in batch.column("text").to_pylist():
-            own = blocks(text.encode())
-            out.append(own if len(own) <= SAMPLES else random.Random(len(own)).sample(own, SAMPLES))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(out, pa.list_(pa.binary()))], names=["id", "label", "blocks"])
-
-
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> QualityModel:
     """A model from the labelled rows (label 1 or 0) whose fold is not HELD_OUT."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("id")) != HELD_OUT))
     known = known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
     chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(rows)  # at most `rows` short rows
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sample = cut(texts.join(F.broadcast(chosen), "id").select("id", "label", "text"))
-    if sample.count() == 0:
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("t")
+    found = texts.join(F.broadcast(chosen.distinct()), "id").groupBy("id", "label").agg(least).select("id", "label", "t.text", F.octet_length("t.text").cast("long").alias("bytes"))
+    found = cut(found.where(F.col("bytes") <= FIT_TEXT_BYTES))
+    upto = F.sum("bytes").over(W.orderBy(F.xxhash64("id"), "id", "label").rowsBetween(W.unboundedPreceding, 0))  # at most `rows` short rows
+    taken = found.select("id", "label", upto.alias("upto")).where(F.col("upto") <= FIT_BYTES).select("id", "label")
+    sample = cut(found.join(F.broadcast(taken), ["id", "label"]).select("id", "label", "text"))
+    forget(found)
+    if sample.isEmpty():
         return QualityModel(b"", b"", 0.0, 0.0)
-    kept = sample.where(fold(F.col("id")) != CALIBRATION).mapInArrow(_sample_blocks, T.StructType([*sample.schema.fields[:2], T.StructField("blocks", T.ArrayType(T.BinaryType()))])).collect()
-    kept.sort(key=lambda r: (r.id, r.blocks))
-    by_label = {q: [bytes(b) for r in kept if r.label == q for b in r.blocks] for q in (0, 1)}
+    kept = sample.where(fold(F.col("id")) != CALIBRATION).collect()  # at most FIT_BYTES
+    kept.sort(key=lambda r: (r.id, r.label))
+    by_label = {q: [x for r in kept if r.label == q for x in blocks(r.text.encode())] for q in (0, 1)}
     share = sample.agg(F.avg("label")).first()[0]
     if not by_label[0] or not by_label[1]:
         p = min(max(share, 1e-6), 1 - 1e-6)
@@ -133,6 +133,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     if len({y for _, y in measured}) < 2:  # too few rows to leave some out
         measured = sorted((r.difference, r.label) for r in _measure(sample, model).select("label", "difference").collect())
     model.offset, model.slope = _logistic(*(np.array(v, dtype=float) for v in zip(*measured, strict=True)))
+    forget(sample)
     return model
 
 
