@@ -7,9 +7,10 @@ Turns are collected per conversation as structs and sorted; runs of one role bec
 The control strings below never occur inside a text or role: each occurrence gets a backslash after its first character, and
 one that already looks escaped gets one more, so that unescaping gives back every text exactly.
 
-Nulls: a null text or role counts as empty. A null conversation id is a conversation of its own. Turns sort by turn (null
-first), then role, then text, so that ties and repeated rows have one order. Blocks keep the borders of their turns. An empty
-table gives no rows; extra columns are ignored.
+Nulls: a null text or role counts as empty. Each row with a null conversation id is a conversation of its own, as nothing says which
+of them belong together; so they are never gathered. Turns sort by turn (null first), then role, then text, so that ties and
+repeated rows have one order. Blocks keep the borders of their turns. An empty table gives no rows; extra columns, whatever their
+names, are ignored. Texts of any length are written whole; a conversation must fit into a task, as its output is one row.
 """
 
 from __future__ import annotations
@@ -43,7 +44,8 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     """One row per conversation: conv, formatted, mask (runs of characters as structs chars, loss: true inside the texts of the
     trained role, separators and marks excluded)."""
     rows = turns.select(F.col(conv).alias("conv"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).alias("t"))
-    sorted_turns = rows.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    sorted_turns = rows.where("conv is not null").groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    sorted_turns = sorted_turns.unionByName(rows.where("conv is null").select("conv", F.array("t").alias("turns")))
     n = F.size("turns")
     starts = sorted_turns.withColumn("starts", F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("turns", i).role != F.get("turns", i - 1).role)))
     blocks = starts.withColumn(

@@ -43,12 +43,12 @@ _HEAD, _SEP, _END = len(chat.START) + 1, len(chat.SEP), len(chat.END)
 _ROLE = "replace(replace(" + _escaped_sql("role") + r", '\', '\b'), chr(10), '\n')"
 OP2_SQL = f"""
 with t as (
-  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-o as (select *, lag(role) over (partition by conv_id order by turn nulls first, role, text) as before from t),
+  select conv_id, case when conv_id is null then row_number() over () end as own, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, null, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, null, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o as (select *, lag(role) over (partition by conv_id, own order by turn nulls first, role, text) as before from t),
 p as (select *, length({_escaped_sql("text")}) + case when before = role then {_SEP} else {_HEAD + _END} + length({_ROLE}) end as chars from o),
 g as (select conv_id, count(*)::bigint as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as turns,
-        coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '') as loss, sum(chars)::bigint as formatted_chars from p group by conv_id)
+        coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '') as loss, sum(chars)::bigint as formatted_chars from p group by conv_id, own)
 select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars from g
 """
 
@@ -94,7 +94,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.fertility_rules(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return fertility.fertility_rules(table(spark, sf_dir, "documents"), [tokenizer_file("piece_bpe_32k.model"), tokenizer_file("byte_bpe_multi_50k.tiktoken")])
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
