@@ -7,7 +7,7 @@ next shorter prefix when it is not compatible with its left neighbour, and steps
 given up at most once, so the work is linear in the word's length. Decoding gathers byte ranges of one blob of all tokens'
 strings through a table of offsets.
 
-Characters that the interpreter's Unicode tables don't have yet may be lower-cased otherwise than by the library.
+Texts with characters that the interpreter's Unicode tables don't have yet are normalized by the tokenizer file's own normalizer.
 
 Null texts count as empty: no tokens, an empty decoded text. Rows are independent: repeated rows, null ids and extra columns
 (which are dropped) make no difference. Memory is bounded by one batch plus a cache of CACHE words per worker.
@@ -36,6 +36,11 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+def has_newer(text: str) -> bool:
+    """Whether a text holds characters that the interpreter's Unicode tables don't have."""
+    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
 class BpeTokenizer:
     """Encodes and decodes as the tokenizer file says. Supported: byte-level BPE with an end-of-word suffix, the normalizers
     NFC, white-space folding and lower-casing, a regex that keeps its matches, and special tokens found in raw text."""
@@ -43,7 +48,7 @@ class BpeTokenizer:
     def __init__(self, path: str, cache: int = CACHE):
         import ahocorasick
         import regex
-        from tokenizers import Regex, pre_tokenizers
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -57,6 +62,7 @@ class BpeTokenizer:
         # \s of the file's regex dialect is the White_Space property; U+001C to U+001F are not in it
         self.find_pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")).findall
         self.newer = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
+        self.normalize_newer = Tokenizer.from_file(path).normalizer.normalize_str
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special = {k: np.uint32(v).tobytes() for k, v in special.items()}
         self.find_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split
@@ -146,7 +152,7 @@ class BpeTokenizer:
         return out
 
     def pieces(self, text: str) -> list[str]:
-        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text):  # newer letters: as the library's tables have them
+        if has_newer(text):  # as the library's tables have them
             return [x for x, _ in self.newer.pre_tokenize_str(text)]
         return self.find_pieces(text)
 
@@ -154,6 +160,8 @@ class BpeTokenizer:
         return np.array([t for piece in self.pieces(chunk) for t in self.encode_word(piece)], dtype="<u4").tobytes()
 
     def normalize(self, text: str) -> str:
+        if has_newer(text):
+            return self.normalize_newer(text)
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
