@@ -10,12 +10,13 @@ Building takes one distinct pass over the keys and a small pass for each level (
 the one before the last). All DataFrame functions; no Python on the executors.
 
 Nulls: a null url, or one without ://, has an empty host and path, fits no rule and is allowed. Repeated urls and extra columns
-make no difference; an empty table or blocklist gives no rows or no blocks.
+make no difference; of rules of one length that fit, the last by host, path and verdict counts; an empty table or blocklist gives no
+rows or no blocks. Urls of any length are read whole; a host is cut at its dots within its row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import ascii_lower, cut
@@ -58,20 +59,22 @@ class BloomLevel:
         self.words, self.level = max(1, -(-n * BITS // 64)), level
         if self.words * 8 > MAX_LEVEL_BYTES:
             raise ValueError(f"level {level} needs {self.words * 8} bytes for {n} keys; the bound is {MAX_LEVEL_BYTES}")
-        bit = F.explode(F.array(*self._bits(F.col("key")))).alias("bit")
-        words = keys.select(bit).groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
+        halves = keys.select(self._halves(F.col("key")).alias("halves"))
+        words = halves.select(F.explode(F.array(*(self._bit(F.col("halves"), i) for i in range(HASHES)))).alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
         rows = {r.at: r.word for r in words.collect()}  # at most self.words rows
         self.filled = F.from_json(F.lit(str([rows.get(i, 0) for i in range(self.words)])), "array<bigint>")
 
-    def _bits(self, key: Column) -> list[Column]:
-        a, b = (F.shiftrightunsigned(F.xxhash64(key, F.lit(2 * self.level + k)), 8) for k in (0, 1))  # 56 bits: sums stay in range
-        return [F.pmod(a + b * F.lit(i), F.lit(self.words * 64).cast("long")) for i in range(HASHES)]
+    def _halves(self, key: Column) -> Column:
+        return F.struct(*(F.shiftrightunsigned(F.xxhash64(key, F.lit(2 * self.level + k)), 8).alias(c) for k, c in enumerate("ab")))  # 56 bits: sums stay in range
+
+    def _bit(self, halves: Column, i: int) -> Column:
+        return F.pmod(halves.a + halves.b * F.lit(i), F.lit(self.words * 64).cast("long"))
 
     def holds(self, key: Column) -> Column:
-        out = F.lit(True)
-        for bit in self._bits(key):
-            out = out & (F.getbit(F.get(self.filled, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(63).cast("int")) == 1)
-        return out
+        """Whether all bits of a key are set. The filter stands in this expression once."""
+        bits = lambda halves: F.array(*(self._bit(halves, i) for i in range(HASHES)))
+        is_set = lambda bit: F.getbit(F.get(self.filled, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(63).cast("int")) == 1
+        return F.forall(F.array(self._halves(key)), lambda halves: F.forall(bits(halves), is_set))
 
 
 def build_cascade(universe: DataFrame, listed: DataFrame) -> list[BloomLevel]:
@@ -100,6 +103,12 @@ def in_cascade(key: Column, levels: list[BloomLevel]) -> Column:
     return out
 
 
+def read_blocklist(spark: SparkSession, path: str) -> DataFrame:
+    """key: one listed host or domain for each line of a text file; blank lines and those that begin with # don't count."""
+    line = F.trim(F.col("value"))
+    return spark.read.text(path).select(line.alias("key")).where((line != "") & ~line.startswith("#")).distinct()
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id_col, host, path, rule, verdict for each row. listed: a column key of blocked hosts and domains (with all subdomains)."""
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
