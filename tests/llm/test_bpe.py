@@ -72,3 +72,9 @@ def test_edge_cases(spark):
 def test_other_tokenizers_are_refused():
     with pytest.raises((ValueError, KeyError, TypeError)):
         bpe.BpeTokenizer(tokenizer_file("byte_bpe_50k.json"))
+
+
+def test_letters_newer_than_the_interpreter(own, library):
+    """Capital letters of later Unicode versions, unassigned characters and what stands around them."""
+    for text in ["A\u1c89B \u1c8a \ua7cb\ua7dc ÉΣ", "\U00010d50\U00010d51 İ", "\u0378x \U0001fae9 e\u0301 \U0003fffd", "\u1c89 <|endoftext|> Σ\u1c89"]:
+        check(own, library, text)

@@ -46,5 +46,17 @@ def test_edge_cases(spark):
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as turns", "2 as conv", "3 as t")
     out = chat.format_chat(df)
     got = {r.conv_id: [(t.role, t.text) for t in r.t] for r in out.select("conv_id", chat.read_turns(F.col("formatted")).alias("t")).collect()}
-    assert got == {1: [("", ""), ("assistant", "")], None: [("user", "y"), ("user", "x")], 2: [("user", "a"), ("user", "a"), ("user", "b")], 3: [("assistant", "z" * 300_000)]}
+    alone = sorted(r.t[0].text for r in out.where("conv_id is null").select(chat.read_turns(F.col("formatted")).alias("t")).collect())
+    assert alone == ["x", "y"]  # rows without a conversation id belong to none but their own
+    del got[None]
+    assert got == {1: [("", ""), ("assistant", "")], 2: [("user", "a"), ("user", "a"), ("user", "b")], 3: [("assistant", "z" * 300_000)]}
     assert chat.format_chat(df.limit(0)).count() == 0
+
+
+def test_rows_without_a_conversation(spark):
+    """Each is a conversation of its own, however many there are."""
+    rows = [(None, 0, "user", f"t{k % 7}") for k in range(5000)] + [(1, 0, "user", "a"), (1, 1, "assistant", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' as conv", "'y' as t", "'z' as turns")
+    got = chat.format_chat(df).collect()
+    assert len(got) == 5001
+    assert {r.formatted for r in got if r.conv_id is None} == {f"<|im_start|>user\nt{k}<|im_end|>\n" for k in range(7)}

@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from gridloom.llm import fertility, fingerprint, licenses, quality
@@ -40,6 +42,53 @@ def test_held_out_labels_are_not_learnt_from(spark):
     assert quality.fit_quality(docs, labels) == quality.fit_quality(docs, turned)
 
 
+def sizes_by(dictionary, text):
+    """Compressed size of all blocks of a text, one compressor for each block."""
+    total = 0
+    for at in range(0, len(text), 512):
+        d = zstandard.ZstdCompressionDict(dictionary)
+        total += len(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(text[at : at + 512]))
+    return total
+
+
+def test_quality_step_by_step(spark):
+    """The learnt rows, differences, the calibration and the scores of op3, worked out plainly."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit_quality(docs, labels)
+    texts = documents(spark, sf_dir)
+    known = sorted((r.doc_id, r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2)
+    learnt, rest = ([x for x in known if (zlib.crc32(str(x[0]).encode()) % 4 == 3) == c] for c in (False, True))
+    for label, dictionary in ((1, model.good), (0, model.bad)):  # every block of every learnt text, in one fixed order
+        own = [b[at : at + 512] for i, q in learnt if q == label for b in [texts[i].encode()] for at in range(0, len(b), 512)]
+        random.Random(0).shuffle(own)
+        assert dictionary == zstandard.train_dictionary(65536, own).as_bytes()
+    difference = {i: (sizes_by(model.bad, t.encode()) - sizes_by(model.good, t.encode())) / max(1, len(t.encode())) for i, t in texts.items()}
+    # the curve is where the gradient of the likelihood (with its slight pull) is nil
+    x, y = np.array([difference[i] for i, _ in rest]), np.array([q for _, q in rest])
+    p = 1 / (1 + np.exp(-(model.offset + model.slope * x)))
+    scale = np.abs(x).mean()
+    assert abs((y - p).sum() - 0.01 * model.offset) < 1e-6 and abs(((y - p) * x / scale).sum() - 0.01 * model.slope * scale) < 1e-6
+    for r in QUERIES["op3_quality"](spark, sf_dir).collect():
+        want = 1 / (1 + np.exp(-(model.offset + model.slope * difference[r.doc_id])))
+        assert abs(r.score - want) < 1e-9 and r.predicted == (want >= 0.7)
+
+
+def test_quality_sample_is_bounded_and_whole(spark, monkeypatch):
+    """Rows are taken whole or not at all, up to a number of bytes; texts above a bound are not learnt from."""
+    rows = [(k, f"good text number {k} " * 40 if k % 2 else f"### {k} *** " * 60) for k in range(200)] + [(1000, "x" * 50_000), (1001, "y" * 50_000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    whole = quality.fit_quality(df, labels)
+    monkeypatch.setattr(quality, "FIT_TEXT_BYTES", 10_000)
+    assert quality.fit_quality(df, labels) == quality.fit_quality(df.where("doc_id < 1000"), labels) != whole
+    monkeypatch.setattr(quality, "FIT_BYTES", 20_000)
+    few = quality.fit_quality(df, labels)
+    assert len(few.good) + len(few.bad) <= 20_000 and few.good and few.bad
+    twice = df.unionByName(df)
+    assert quality.fit_quality(twice, labels) == few
+
+
 def test_quality_edge_cases(spark):
     rows = [(1, None), (2, ""), (None, "good text"), (3, "### *** " * 20_000), (3, "x"), (3, "x")]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'a' as id", "0.5 as difference", "1 as label")
@@ -87,9 +136,89 @@ def test_fertility(spark, sf_dir):
     assert np.mean(clean) > 0.95
 
 
+def middle(values):
+    """The lower median on the grid."""
+    at = sorted(int(np.floor(v * fertility.GRID + 0.5)) for v in values)
+    return at[(len(at) - 1) // 2] / fertility.GRID
+
+
+def test_fertility_verdicts(spark):
+    """kept, from the measures of all rows by numpy; and how it agrees with the labels."""
+    sf_dir = "/root/testdata/sf0.01"
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").collect()}
+    rows = QUERIES["op7_fertility"](spark, sf_dir).collect()
+    groups = collections.defaultdict(list)
+
+    def values(r):
+        for k, s in enumerate(("", "_2")):
+            yield (langs[r.doc_id], 2 * k, 0), r["chars_per_token" + s]
+            yield (langs[r.doc_id], 2 * k + 1, int(np.log2(max(1, r["n_tokens" + s])))), r["entropy" + s]
+
+    for r in rows:
+        for key, v in values(r) if r.n_words >= 50 else ():
+            groups[key].append((v, r.n_words**0.5))
+    bands = {}
+    for key, own in groups.items():
+        m = middle([v for v, _ in own])
+        least = m * (0.005, 0.014)[key[1] % 2]
+        bands[key] = m, max(least, middle([abs(v - m) for v, _ in own])), middle([abs(v - m) * root for v, root in own])
+    near = 0
+    for r in rows:
+        inside, edge = not r.base_failed, False
+        least, most, fallback, entropy = fertility.BANDS[r.script]
+        for s in ("", "_2"):
+            inside = inside and least <= r["chars_per_token" + s] <= most and r["byte_share" + s] <= fallback and r["entropy" + s] >= entropy * np.log2(max(1, min(r["n_tokens" + s], 90)))
+        for key, v in values(r):
+            if key in bands:
+                m, wide, by_root = bands[key]
+                bound = 5 * max(wide, by_root / max(1, r.n_words) ** 0.5) + 1 / fertility.GRID
+                edge = edge or abs(abs(v - m) - bound) < 0.02  # a value on the border of two grid points may round either way
+                inside = inside and abs(v - m) <= bound
+        near += edge
+        assert edge or r.kept == inside, r
+    assert near < 0.1 * len(rows)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    kept = {q: [r.kept for r in rows if labels.get(r.doc_id) == q and not r.base_failed] for q in (0, 1)}
+    assert np.mean(kept[1]) > 0.98 and np.mean(kept[0]) < 0.2
+
+
+def test_scripts_and_byte_shares(spark):
+    """A text of each script; byte shares by both vocabularies, recounted."""
+    import base64
+
+    import sentencepiece
+    import tiktoken
+
+    texts = {"latin": "An easy text of words", "greek": "Ένα απλό κείμενο", "cyrillic": "Простой текст слов", "semitic": "نص بسيط שלום", "indic": "सरल पाठ", "east_asian": "简单的 文字 テキスト 한국어", "none": "123 456 !!!"}
+    df = spark.createDataFrame(list(enumerate(texts.values())), SCHEMA)
+    paths = [tokenizer_file("piece_bpe_32k.model"), tokenizer_file("byte_bpe_multi_50k.tiktoken")]
+    got = {r.doc_id: r for r in fertility.fertility_rules(df, paths, lang_col=None).collect()}
+    model = sentencepiece.SentencePieceProcessor(model_file=paths[0])
+    with open(paths[1], "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    names = {v: k for k, v in ranks.items()}
+    encoding = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+
+    def whole(token):
+        try:
+            return bool(names[token].decode()) or True
+        except UnicodeDecodeError:
+            return False
+
+    for k, (script, text) in enumerate(texts.items()):
+        pieces = [t for w in text.split() for t in model.encode(w)]
+        tokens = [t for w in text.split() for t in encoding.encode_ordinary(" " + w)]
+        assert got[k].script == script and not got[k].kept  # too short
+        assert (got[k].n_tokens, got[k].n_tokens_2) == (len(pieces), len(tokens))
+        assert abs(got[k].byte_share - np.mean([model.is_byte(t) for t in pieces])) < 1e-9
+        assert abs(got[k].byte_share_2 - np.mean([not whole(t) for t in tokens])) < 1e-9
+        assert abs(got[k].chars_per_token_2 - len(text.replace(" ", "")) / len(tokens)) < 1e-9
+    assert got[4].byte_share > 0
+
+
 def test_fertility_edge_cases(spark):
     same = "word word word word " * 30
-    rows = [(1, None, "en"), (2, "", None), (None, same, "en"), (3, "a\x1cb  c\r\x0bd\n\x85e", "xx"), (4, "汉字 тест αβγ हिन्दी 𓀀𒀀𓁹 " * 30, None), (5, "\n\n a \n a \n", "en"), (6, "lorem ipsum " * 40_000, "en")]
+    rows = [(1, None, "en"), (2, "", None), (None, same, "en"), (3, "a\x1cb  c\r\x0bd\n\x85e", "xx"), (4, "汉字 тест αβγ हिन्दी 𓀀𒀀𓁹 " * 30, None), (5, "\n\n a \n a \n", "en"), (6, "lorem ipsum " * 40_000, "en"), (7, "x" * 300_000 + " é" * 9, "en")]
     df = spark.createDataFrame(rows, SCHEMA + ", lang string").selectExpr("*", "'a' as id", "1 as n_words", "2 as kept")
     got = {r.doc_id: r for r in fertility.fertility_rules(df, tokenizer_file("piece_bpe_32k.model")).collect()}
     for i, text, _ in rows:

@@ -21,6 +21,20 @@ def test_cascade_is_exact(spark, monkeypatch):
     assert got == listed & set(universe)
 
 
+def test_a_long_blocklist_from_a_file(spark, tmp_path):
+    """60,000 listed of 200,000 keys with the parameters of production: several levels, each once in the plan."""
+    universe = spark.range(200_000).select(F.concat(F.lit("h"), "id", F.lit(".example")).alias("key"))
+    (tmp_path / "list.txt").write_text("# blocked\n\n" + "\n".join(f" h{3 * k}.example" for k in range(60_000)), encoding="utf-8")
+    listed = urls.read_blocklist(spark, str(tmp_path / "list.txt"))
+    levels = urls.build_cascade(universe, listed)
+    assert len(levels) >= 3 and levels[0].words * 64 >= 60_000 * urls.BITS
+    got = universe.withColumn("listed", urls.in_cascade(F.col("key"), levels))
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert plan.count("from_json") == len(levels)
+    wrong = got.withColumn("n", F.regexp_extract("key", r"\d+", 0).cast("long")).where("listed != (n % 3 = 0 and n < 180000)")
+    assert wrong.count() == 0 and got.where("listed").count() == 60_000
+
+
 def test_a_level_above_the_bound_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(urls, "MAX_LEVEL_BYTES", 8)
     keys = spark.range(100).selectExpr("cast(id as string) as key")
