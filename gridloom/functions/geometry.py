@@ -142,6 +142,15 @@ def pixel(lat: Column, lng: Column, zoom: Column, crs: str = "EPSG3857") -> Colu
     return point(scale * (a * p.x + b), scale * (c * p.y + d))
 
 
+def place_of_pixel(x: Column, y: Column, zoom: Column, crs: str = "EPSG3857") -> Column:
+    """The place (x its longitude, y its latitude) of a pixel: the affine step and the projection backwards."""
+    name = crs_code(crs).replace(":", "")
+    _, (a, b, c, d) = CRS[name]
+    scale = F.pow(F.lit(2.0), zoom) * (1.0 if crs == "Simple" else 256.0)
+    px, py = (x / scale - b) / a, (y / scale - d) / c
+    return {"EPSG3857": mercator_inverse, "EPSG3395": ellipsoidal_mercator_inverse}.get(name, point)(px, py)
+
+
 def scale_of(zoom: Column) -> Column:
     return 256 * F.pow(F.lit(2.0), zoom)
 

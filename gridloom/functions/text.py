@@ -8,26 +8,39 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters that become two, or that have no decomposition. Fixed values of the Latin-ASCII transliteration.
-DIGRAPHS = {"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "TH", "ĳ": "ij", "Ĳ": "IJ"}
-SINGLES = {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H", "ı": "i", "ŧ": "t", "Ŧ": "T"}
+#: Fixed values of the Latin-ASCII transliteration: characters that become several, and single ones without a decomposition.
+SEVERAL = {
+    "ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "TH", "ĳ": "ij", "Ĳ": "IJ", "ŉ": "'n",
+    "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st",
+    "©": "(C)", "®": "(R)", "«": "<<", "»": ">>", "„": ",,", "…": "...", "¼": " 1/4", "½": " 1/2", "¾": " 3/4",
+}
+SINGLES = {
+    "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H", "ı": "i", "ŧ": "t", "Ŧ": "T",
+    "ĸ": "q", "ŋ": "n", "Ŋ": "N", "ſ": "s", "ƀ": "b", "Ɓ": "B", "ƒ": "f", "Ɨ": "I", "ƶ": "z", "Ƶ": "Z",
+    "×": "*", "÷": "/", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "―": "-", "−": "-", "‘": "'", "’": "'", "‚": ",", "‛": "'",
+    "“": '"', "”": '"', "‟": '"', "‹": "<", "›": ">",
+}
 
 
 def latin_letters() -> tuple[str, str]:
-    """Accented letters of the Latin blocks and, at the same places, what is left without their marks."""
+    """Single characters and, at the same places, what they become: SINGLES, accented letters of the Latin blocks (to U+024F, and U+1E00
+    to U+1EFF) without their marks, fullwidth forms as the plain ones."""
     pairs = dict(SINGLES)
-    for code in range(0xC0, 0x250):
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
         plain = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
-        if len(plain) == 1 and plain != chr(code) and plain.isascii():
-            pairs[chr(code)] = plain
+        if len(plain) == 1 and plain != chr(code) and chr(code) not in SEVERAL:
+            plain = SINGLES.get(plain, plain)
+            if plain.isascii():
+                pairs[chr(code)] = plain
+    pairs |= {chr(code): chr(code - 0xFEE0) for code in range(0xFF01, 0xFF5F)}
     return "".join(pairs), "".join(pairs.values())
 
 
 def transliterate(text: Column) -> Column:
-    """Latin letters without accents, case kept."""
-    for letter, two in DIGRAPHS.items():
-        text = F.replace(text, F.lit(letter), F.lit(two))
-    return F.translate(text, *latin_letters())
+    """Latin letters without accents and punctuation in ASCII, case kept; combining accents go."""
+    for letter, several in SEVERAL.items():
+        text = F.replace(text, F.lit(letter), F.lit(several))
+    return F.translate(F.regexp_replace(text, "[\u0300-\u036f]", ""), *latin_letters())
 
 
 def paste(*parts: Column | str) -> Column:

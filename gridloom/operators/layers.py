@@ -65,10 +65,47 @@ def view(calls: DataFrame) -> DataFrame:
     return calls.where(F.col("method").isin(*VIEWS)).orderBy(F.desc("seq")).limit(1)
 
 
+def unknown_calls(calls: DataFrame) -> DataFrame:
+    """seq, message for each call of a method that METHODS doesn't have."""
+    return calls.where(~F.coalesce(F.col("method").isin(*METHODS), F.lit(False))).select("seq", F.concat(F.lit("Unknown method "), F.coalesce("method", F.lit("null"))).alias("message"))
+
+
+def group_options(calls: DataFrame) -> DataFrame:
+    """grp, zoom_levels: by the last call that sets a group's options; no levels mean all."""
+    return calls.where("method = 'setGroupOptions'").groupBy("grp").agg(F.max_by("zoom_levels", "seq").alias("zoom_levels"))
+
+
+def control(layers: DataFrame, layer_id: str) -> DataFrame:
+    """The control of an id; no row if there is none."""
+    return layers.where((F.col("category") == "control") & (F.col("layer_id") == layer_id))
+
+
+def panes(calls: DataFrame) -> DataFrame:
+    """name, z_index of the panes that were made, the last call for each name."""
+    return calls.where("method = 'createMapPane'").groupBy("name").agg(F.max_by("z_index", "seq").alias("z_index"))
+
+
+#: Sides of grid cells in degrees: the smallest, and how many times it is doubled.
+CELL, CELL_LEVELS = 360 / 1024, 10
+
+
 def brush(layers: DataFrame, boxes: DataFrame) -> DataFrame:
-    """ct_group, ct_key for each layer with a point inside a box (south, west, north, east), once for each matching layer."""
+    """box_id, ct_group, ct_key for each layer with a point inside a box (south, west, north, east), once for each matching layer.
+
+    A box goes to the cells, four at most, of the grid whose cells are as wide as it is; a point goes to its cell on each grid that
+    boxes use. So an equi-join on cells replaces a comparison of all points with all boxes. Boxes wider than the world are met on
+    the widest grid."""
+    wide = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"), F.lit(CELL))
+    level = F.least(F.lit(CELL_LEVELS), F.ceil(F.log2(wide / CELL))).cast("int")
+    at = lambda x, level: F.floor(x / (CELL * F.pow(F.lit(2.0), level))).cast("long")
+    cells = lambda low, high: F.explode(F.sequence(at(F.col(low), F.col("level")), at(F.col(high), F.col("level"))))
+    whole = boxes.where("south <= north and west <= east").withColumn("level", level)
+    dealt = whole.withColumn("cx", cells("west", "east")).withColumn("cy", cells("south", "north"))
+    used = sorted(r.level for r in whole.select("level").distinct().collect())  # CELL_LEVELS + 1 at most
+    points = layers.where("ct_group is not null and lat is not null and lng is not null").select("ct_group", "ct_key", "lat", "lng", F.explode(F.array(*map(F.lit, used)).cast("array<int>")).alias("level"))
+    points = points.withColumns({"cx": at(F.col("lng"), F.col("level")), "cy": at(F.col("lat"), F.col("level"))})
     inside = (F.col("lat") >= F.col("south")) & (F.col("lat") <= F.col("north")) & (F.col("lng") >= F.col("west")) & (F.col("lng") <= F.col("east"))
-    return layers.where("ct_group is not null and lat is not null and lng is not null").join(boxes, inside).select("box_id", "ct_group", "ct_key")
+    return points.join(dealt, ["level", "cx", "cy"]).where(inside).select("box_id", "ct_group", "ct_key")
 
 
 def view_limits(points: DataFrame, pad: float = 0.006) -> DataFrame:

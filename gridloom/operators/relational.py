@@ -67,11 +67,17 @@ def require_fields(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def get_cell(df: DataFrame, order: list[str], row: int, column: str) -> DataFrame:
-    """One value by its row number (from 0) and column; an error if the column isn't there, no row if the number isn't."""
-    if column not in df.columns:
-        raise ValueError(f"column {column} is missing")
-    return df.orderBy(*order).offset(row).limit(1).select(column)
+def get_cell(df: DataFrame, order: list[str], row: int, *columns: str) -> DataFrame:
+    """Values of a row by its number (from 0) and their columns; an error if one isn't there, no row if the number isn't."""
+    for column in columns:
+        if column not in df.columns:
+            raise ValueError(f"column {column} is missing")
+    return df.orderBy(*order).offset(row).limit(1).select(*columns)
+
+
+def present(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in which all of the columns have a value: layers that a row function left empty are passed over."""
+    return df.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns)))
 
 
 def union_by_name(*frames: DataFrame) -> DataFrame:

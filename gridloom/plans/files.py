@@ -40,13 +40,13 @@ def geojson_scan(spark, sf_dir):
     return found.select("id", F.col("properties")["name"].alias("name"), F.get(readers.lat_lngs(F.col("geometry")), 0).lng.alias("x"))
 
 
-@query("select count(*)::bigint as n, min(href) as first from (select 'p' || (doc_id // 5) || '.html' || case when doc_id % 5 > 0 then '#s' || (doc_id % 5) else '' end as href from documents where doc_id % 3 <> 0)")
+@query("select 'p' || (doc_id // 5) || '.html' || case when doc_id % 5 > 0 then '#s' || (doc_id % 5) else '' end as \"objectID\", md5(text) as text_md5 from documents where length(trim(text)) > 0")
 def search_index_scan(spark, sf_dir):
     """Whole texts, by their hash as read back. Pages without a text are not written."""
     path = scratch(spark, "search")
     docs = search_documents(spark, sf_dir).withColumn("objectID", F.col("href"))
     writers.write_search_index(docs.select("objectID", "href", "title", "section", "text"), path)
-    return spark.read.schema(readers.SEARCH_DOCUMENT).json(path).select("objectID", F.md5("text").alias("text_md5"))
+    return readers.read_search_index(spark, path, lines=True).select("objectID", F.md5("text").alias("text_md5"))
 
 
 @query("select '/' || r_name || '/index.html' as listing, n_name as page from nation join region on n_regionkey = r_regionkey")
@@ -92,7 +92,16 @@ def ring_shapes(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", F.size(G.open_ring(ring)).alias("opened"), F.size(G.closed_ring(G.open_ring(ring))).alias("closed"), A.depth_is_flat(text).alias("flat"))
 
 
-@query("select 'addMarkers' as method, 'upsert' as effect union all select 'clearShapes', 'delete by category' union all select 'hideGroup', 'show or hide group' union all select 'setView', 'set view'")
+#: Fixed values, written by hand for the SQL: the calls by their effect.
+_EFFECTS = {
+    "upsert": "addPopups addTiles addWMSTiles addProviderTiles addMarkers addAwesomeMarkers addCircleMarkers addCircles addPolylines addRectangles addPolygons addGeoJSON addTopoJSON addControl addCustomControl addLegend addRasterImage addSelect addLayersControl addScaleBar addMeasure addMarkerCluster",
+    "delete by id": "removePopup removeTiles removeMarker removeShape removeGeoJSON removeTopoJSON removeControl removeImage removeMarkerCluster removeMarkerFromCluster",
+    "delete by category": "clearPopups clearTiles clearMarkers clearShapes clearGeoJSON clearTopoJSON clearControls clearImages clearMarkerClusters removeLayersControl removeScaleBar removeMeasure removeSelect",
+    "delete by group": "clearGroup", "show or hide group": "hideGroup showGroup", "set view": "setView fitBounds flyTo flyToBounds setMaxBounds",
+    "zoom levels of group": "setGroupOptions", "lookup": "getControl", "none": "createMapPane",
+}
+
+
+@query(" union all ".join(f"select unnest(string_split('{v}', ' ')) as method, '{k}' as effect" for k, v in _EFFECTS.items()))
 def method_registry(spark, sf_dir):
-    rows = spark.createDataFrame(sorted(L.METHODS.items()), "method string, effect string")
-    return rows.where(F.col("method").isin("addMarkers", "clearShapes", "hideGroup", "setView"))
+    return spark.createDataFrame(sorted(L.METHODS.items()), "method string, effect string")

@@ -196,14 +196,14 @@ def topojson_arcs(spark, sf_dir):
 
 
 _CALLS = """calls as (select event_id as seq, case event_type when 'view' then 'addMarkers' when 'click' then 'addCircles' when 'purchase' then 'removeMarker' when 'signup' then 'clearShapes' else 'unknown' end as method,
- case when user_id % 5 = 0 then null else user_id::varchar end as layer_id from events where event_id < 400)"""
+ case when user_id % 5 = 0 then null else user_id::varchar end as layer_id from events)"""
 
 
 @query(f"""with {_CALLS}, a as (select *, case method when 'addMarkers' then 'marker' when 'addCircles' then 'shape' end as category from calls),
-l as (select *, row_number() over (partition by category, coalesce('id:' || layer_id, 'seq:' || seq) order by seq desc) as n from a where category is not null)
-select seq, category, layer_id from l where n = 1
- and not exists (select 1 from calls c where c.method = 'removeMarker' and l.category = 'marker' and c.layer_id = l.layer_id and c.seq > l.seq)
- and not exists (select 1 from calls c where c.method = 'clearShapes' and l.category = 'shape' and c.seq > l.seq)""")
+l as (select *, row_number() over (partition by category, coalesce('id:' || layer_id, 'seq:' || seq) order by seq desc) as n from a where category is not null),
+gone as (select layer_id, max(seq) as seq from calls where method = 'removeMarker' group by layer_id), cleared as (select coalesce(max(seq), -1) as seq from calls where method = 'clearShapes')
+select l.seq, category, l.layer_id from l left join gone on gone.layer_id = l.layer_id and category = 'marker', cleared
+ where n = 1 and coalesce(gone.seq, -1) < l.seq and (category <> 'shape' or cleared.seq < l.seq)""")
 def layer_calls(spark, sf_dir):
     method = F.when(F.col("event_type") == "view", "addMarkers").when(F.col("event_type") == "click", "addCircles").when(F.col("event_type") == "purchase", "removeMarker").when(F.col("event_type") == "signup", "clearShapes").otherwise("unknown")
     calls = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), method.alias("method"), F.when(F.col("user_id") % 5 != 0, F.col("user_id").cast("string")).alias("layer_id"), F.lit(None).cast("string").alias("grp"))

@@ -305,7 +305,7 @@ def first_visible_only(spark, sf_dir):
 @query("select n_nationkey, n_name from nation order by n_nationkey limit 1 offset 4")
 def cell_by_position(spark, sf_dir):
     nations = R.require_fields(table(spark, sf_dir, "nation"), "n_name")
-    return nations.orderBy("n_nationkey").offset(4).limit(1).select("n_nationkey", "n_name")
+    return R.get_cell(nations, ["n_nationkey"], 4, "n_nationkey", "n_name")
 
 
 @query("select 1 + 1 as value, '[1] 2' as printed")
@@ -315,14 +315,16 @@ def cell_output(spark, sf_dir):
 
 @query("""with s as (select user_id, ts, event_id, value, case when epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) < 3600000000 then 0 else 1 end as new from events),
 g as (select *, sum(new) over (partition by user_id order by ts, event_id) as grp from s)
-select user_id, min(ts) as started, count(*)::bigint as n from g group by user_id, grp""")
+select user_id, min(ts) as started, count(*)::bigint as n, arg_max(value, ts) as value from g group by user_id, grp""")
 def debounce_events(spark, sf_dir):
-    return streaming.debounce(table(spark, sf_dir, "events"), "user_id", "ts", "1 hour", "value").select("user_id", "started", "n")
+    return streaming.debounce(table(spark, sf_dir, "events"), "user_id", "ts", "1 hour", "value").select("user_id", "started", "n", "value")
 
 
-@query("""select user_id, min(ts) as first_ts from events group by user_id, date_trunc('hour', ts)""")
+@query("""with recursive p as (select user_id, min(ts) as first_ts from events group by user_id
+ union all select p.user_id, min(e.ts) from p join events e on e.user_id = p.user_id and e.ts >= p.first_ts + interval 6 hour group by p.user_id)
+select p.user_id, p.first_ts, e.value from p join events e on e.user_id = p.user_id and e.ts = p.first_ts""")
 def throttle_events(spark, sf_dir):
-    return streaming.throttle(table(spark, sf_dir, "events"), "user_id", "ts", "1 hour", "value").select("user_id", "first_ts")
+    return streaming.throttle(table(spark, sf_dir, "events"), "user_id", "ts", "6 hours", "value")
 
 
 @query("select user_id, max(ts) as ts from events group by 1")

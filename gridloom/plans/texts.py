@@ -15,19 +15,21 @@ from .registry import Registry, table
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
 
-_FROM, _TO = X.latin_letters()
+#: Fixed values, written by hand for the SQL: letters of the texts and what they become; a sample of other blocks, and its result.
+_FROM = "ÄÇÈÉÊÍÑÓÖÜäçèéêíñóöü"
+_TO = "ACEEEINOOUaceeeinoou"
+_SAMPLE = " Đặng Thị Ngọc Ánh, Łódź Ærø Þór Œuvre ĳs Ẁẽẞ — “quoted” ‘so’ ‹a› «b» „c‟ … 3−2×½ ﬁn ﬄ ＡＢｃ！ ©é"
+_SAMPLE_PLAIN = " Dang Thi Ngoc Anh, Lodz AEro THor OEuvre ijs WeSS - \"quoted\" ''so'' <a> <<b>> ,,c\" ... 3-2* 1/2 fin ffl ABc! (C)e"
 
 
 def _latin_sql(column: str) -> str:
-    for a, b in X.DIGRAPHS.items():
-        column = f"replace({column}, '{a}', '{b}')"
-    return f"translate({column}, '{_FROM}', '{_TO}')"
+    return f"replace(translate({column}, '{_FROM}', '{_TO}'), 'ß', 'ss')"
 
 
-@query(f"select doc_id, md5({_latin_sql('text')}) as plain_md5, left({_latin_sql('text')}, 40) as begins from documents")
+@query(f"select doc_id, md5({_latin_sql('text')}) as plain_md5, left({_latin_sql('text')}, 40) as begins, source || '{_SAMPLE_PLAIN}' as other from documents")
 def transliterate_docs(spark, sf_dir):
     plain = X.transliterate(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(plain).alias("plain_md5"), F.substring(plain, 1, 40).alias("begins"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(plain).alias("plain_md5"), F.substring(plain, 1, 40).alias("begins"), X.transliterate(F.concat("source", F.lit(_SAMPLE))).alias("other"))
 
 
 TERM = "the and"
@@ -98,12 +100,23 @@ def search_top50(spark, sf_dir):
     return S.with_snippets(S.search(search_documents(spark, sf_dir), "src3", order="doc_id"), "src3").select("doc_id", "href")
 
 
+#: A word of the texts with one letter wrong.
+MISTYPED = "thisonwhxleon"
+_FUZZY = """docs as (select doc_id, source || ' ' || lang as title, lower(text) as text, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '') as words from documents),
+near as (select doc_id, contains(text, '{q}') as exact, list_min(list_transform(words, lambda w: levenshtein(w, '{q}'))) as d from docs)""".format(q=MISTYPED)
+
+
+@query(f"with {_FUZZY} select doc_id, round(power(case when exact then 0.001 else d / {len(MISTYPED)}.0 end, 0.2), 9) as score from near where exact or d <= 1")
+def search_fuzzy(spark, sf_dir):
+    return S.search(search_documents(spark, sf_dir), MISTYPED, limit=None).select("doc_id", F.round("score", 9).alias("score"))
+
+
 @query("select doc_id from documents where false")
 def search_empty_query(spark, sf_dir):
     return S.search(search_documents(spark, sf_dir), "").select("doc_id")
 
 
-_GROUP_SQL = """docs as (select doc_id, 'p' || (doc_id // 5) || '.html' || case when doc_id % 5 > 0 then '#s' || (doc_id % 5) else '' end as href, source || ' ' || lang as title, doc_id as rank from documents where lang = 'en'),
+_GROUP_SQL = """docs as (select doc_id, 'p' || (doc_id // 5) || '.html' || case when doc_id % 5 > 0 then '#s' || (doc_id % 5) else '' end as href, source || ' ' || lang as title, doc_id as rank from documents),
 g as (select *, split_part(href, '#', 1) as base, not contains(href, '#') as whole from docs),
 k as (select *, min(rank) over (partition by base) as doc_rank, count(*) over (partition by base) as n, row_number() over (partition by base order by case when whole then 0 else 1 end, rank) - 1 as k from g)"""
 
@@ -111,8 +124,13 @@ k as (select *, min(rank) over (partition by base) as doc_rank, count(*) over (p
 @query(f"""with {_GROUP_SQL} select base, doc_rank, k::int as k, case when k = 0 then 'document' else 'item' end as type, href, title, null::int as n_more from k where k < 3
 union all select base, doc_rank, 3, 'more', null, case when n = 4 then '1 more match in this document' else (n - 3) || ' more matches in this document' end, (n - 3)::int from k where k = 0 and n > 3""")
 def group_collapse_3(spark, sf_dir):
-    hits = search_documents(spark, sf_dir).where(F.col("title").endswith(" en")).withColumn("rank", F.col("doc_id"))
-    return S.grouped(hits)
+    return S.grouped(search_documents(spark, sf_dir).withColumn("rank", F.col("doc_id")))
+
+
+@query(f"""with {_GROUP_SQL} select base, doc_rank, k::int as k, case when k = 0 then 'document' else 'item' end as type, href, title, null::int as n_more from k where k < 3 or base in ('p1.html', 'p7.html')
+union all select base, doc_rank, 3, 'more', null, case when base in ('p1.html', 'p7.html') then 'Hide additional matches' when n = 4 then '1 more match in this document' else (n - 3) || ' more matches in this document' end, (n - 3)::int from k where k = 0 and n > 3""")
+def group_expanded(spark, sf_dir):
+    return S.grouped(search_documents(spark, sf_dir).withColumn("rank", F.col("doc_id")), expanded=["p1.html", "p7.html"])
 
 
 @query(f"with {_HITS_SQL} select count(distinct split_part(href, '#', 1))::bigint as n from hits")
@@ -159,7 +177,7 @@ def front_matter(spark, sf_dir):
     return readers.with_front_matter(docs).select("doc_id", "title", F.get("categories", 0).alias("category"), F.year("date").cast("long").alias("year"))
 
 
-@query("select c_custkey, row_number() over (order by d desc nulls first, c_custkey) - 1 as idx from (select c_custkey, case when c_custkey % 3 = 0 then null else make_date(2000 + c_nationkey::int, 1, 1) end as d from customer where c_custkey <= 500)")
+@query("select c_custkey, row_number() over (order by d desc nulls first, c_custkey) - 1 as idx from (select c_custkey, case when c_custkey % 3 = 0 then null else make_date(2000 + c_nationkey::int, 1, 1) end as d from customer)")
 def listing_order(spark, sf_dir):
     day = F.when(F.col("c_custkey") % 3 != 0, F.make_date(2000 + F.col("c_nationkey"), F.lit(1), F.lit(1)))
     posts = table(spark, sf_dir, "customer").select("c_custkey", F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("title"), day.alias("date"), F.array("c_mktsegment").alias("categories"))

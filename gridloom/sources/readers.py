@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,11 +84,13 @@ def polygons(geometry: Column) -> Column:
     return F.transform(all_of, lambda poly: F.transform(poly, lambda ring: G.open_ring(F.transform(ring, lambda p: G.point(F.get(p, 0), F.get(p, 1))))))
 
 
-def lat_lngs(geometry: Column) -> Column:
-    """Positions of a point, line or set of points as array of structs lat, lng, alt: the order of the first two is swapped."""
+def lat_lngs(geometry: Column, to_lat_lng: Callable[[Column], Column] | None = None) -> Column:
+    """Positions of a point, line or set of points as array of structs lat, lng, alt: the order of the first two is swapped, unless a
+    function of a position (an array of numbers) says otherwise."""
+    swapped = lambda p: F.struct(F.get(p, 1).alias("lat"), F.get(p, 0).alias("lng"), F.get(p, 2).alias("alt"))
     one, many = F.from_json(geometry.coordinates, "array<double>"), F.from_json(geometry.coordinates, "array<array<double>>")
     points = F.when(geometry.type == "Point", F.array(one)).when(geometry.type.isin("LineString", "MultiPoint"), many)
-    return F.transform(points, lambda p: F.struct(F.get(p, 1).alias("lat"), F.get(p, 0).alias("lng"), F.get(p, 2).alias("alt")))
+    return F.transform(points, to_lat_lng or swapped)
 
 
 def unprojected(polygon_rings: Column, crs: Column) -> Column:
@@ -114,6 +118,31 @@ def topology_arcs(text: Column) -> Column:
     return F.transform(t["arcs"], walk)
 
 
+_MEMBER = "type:string,id:string,properties:map<string,string>,arcs:string,coordinates:array<double>"
+
+
+def topology_features(documents: DataFrame, text: str = "value") -> DataFrame:
+    """object, id, properties, type, lines (arrays of points x, y) for each geometry of TopoJSON texts: members of collections come one
+    by one; a line or ring is its arcs one after the other, without the point that two share; arc ~k is arc k backwards."""
+    objects = f"struct<objects:map<string,struct<{_MEMBER},geometries:array<struct<{_MEMBER}>>>>>"
+    transform = F.from_json(F.col(text), "transform struct<scale:array<double>,translate:array<double>>")["transform"]
+    rows = documents.select(topology_arcs(F.col(text)).alias("all"), transform.alias("t"), F.from_json(F.col(text), objects)["objects"].alias("objects"))
+    rows = rows.select("all", "t", F.explode("objects").alias("object", "o"))
+    own = F.struct(*(F.col(f"o.{x.split(':')[0]}") for x in ("type", "id", "properties", "arcs", "coordinates")))
+    rows = rows.select("object", "all", "t.scale", "t.translate", F.explode(F.when(F.col("o.type") == "GeometryCollection", F.col("o.geometries")).otherwise(F.array(own))).alias("g"))
+    arcs = lambda kind: F.from_json("g.arcs", kind)
+    chains = (
+        F.when(F.col("g.type") == "LineString", F.array(arcs("array<int>")))
+        .when(F.col("g.type").isin("MultiLineString", "Polygon"), arcs("array<array<int>>"))
+        .when(F.col("g.type") == "MultiPolygon", F.flatten(arcs("array<array<array<int>>>")))
+    )
+    arc = lambda k: F.when(k >= 0, F.get("all", k)).otherwise(F.reverse(F.get("all", -k - 1)))
+    stitched = lambda chain: F.flatten(F.transform(chain, lambda k, n: F.when(n == 0, arc(k)).otherwise(F.slice(arc(k), 2, 1 << 30))))
+    moved = lambda k: F.get("g.coordinates", k) * F.coalesce(F.get("scale", k), F.lit(1.0)) + F.coalesce(F.get("translate", k), F.lit(0.0))
+    place = F.when(F.col("g.type") == "Point", F.array(F.array(G.point(moved(0), moved(1)))))
+    return rows.withColumn("chains", chains).select("object", "g.id", "g.properties", "g.type", F.coalesce(F.transform("chains", stitched), place).alias("lines"))
+
+
 def with_front_matter(documents: DataFrame, text: str = "value") -> DataFrame:
     """Adds title, author, date, categories, image: the fields with which a document begins, between two lines of three dashes."""
     head = F.regexp_extract(F.col(text), r"(?s)^---\r?\n(.*?)\r?\n---", 1)
@@ -134,9 +163,9 @@ def read_posts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 SEARCH_DOCUMENT = "objectID string, href string, title string, section string, text string"
 
 
-def read_search_index(spark: SparkSession, path: str) -> DataFrame:
-    """The documents of a search index; a file that can't be read is an error."""
-    return spark.read.option("mode", "FAILFAST").schema(SEARCH_DOCUMENT).json(path, multiLine=True)
+def read_search_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The documents of a search index, an array in one file or (lines) one to a line; a file that can't be read is an error."""
+    return spark.read.option("mode", "FAILFAST").schema(SEARCH_DOCUMENT).json(path, multiLine=not lines)
 
 
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
@@ -166,24 +195,49 @@ def decode_png(data: bytes) -> tuple[int, int, bytes]:
         elif kind == b"IDAT":
             packed += body
         at += size + 12
-    raw, stride, rows, above = zlib.decompress(packed), width * channels, [], bytearray(width * channels)
+    if not width or not height:
+        raise ValueError("a PNG image without a size")
+    stride = width * channels
+    raw = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(height, stride + 1)
+    out = np.zeros((height + 1, width + 1, channels), dtype=np.uint8)  # with an empty row above and an empty column before
     for r in range(height):
-        kind, line = raw[r * (stride + 1)], bytearray(raw[r * (stride + 1) + 1 : (r + 1) * (stride + 1)])
-        for i in range(stride):
-            left, up, corner = (line[i - channels] if i >= channels else 0), above[i], (above[i - channels] if i >= channels else 0)
-            if kind == 4:
-                guess = left + up - corner
-                near = min((abs(guess - left), 0, left), (abs(guess - up), 1, up), (abs(guess - corner), 2, corner))[2]
-            else:
-                near = (0, left, up, (left + up) // 2)[kind]
-            line[i] = (line[i] + near) & 255
-        rows.append(bytes(line))
-        above = line
-    flat, out = b"".join(rows), bytearray()
-    for i in range(0, len(flat), channels):
-        p = flat[i : i + channels]
-        out += p if channels == 4 else p + b"\xff" if channels == 3 else bytes([p[0]] * 3) + (p[1:] if channels == 2 else b"\xff")
-    return width, height, bytes(out)
+        kind, line, above = raw[r, 0], raw[r, 1:].reshape(width, channels), out[r]
+        row = out[r + 1]
+        if kind == 0:
+            row[1:] = line
+        elif kind == 1:
+            row[1:] = np.cumsum(line, axis=0, dtype=np.uint8)
+        elif kind == 2:
+            row[1:] = line + above[1:]
+        elif kind in (3, 4):
+            up = above.astype(np.int16)
+            for c in range(1, width + 1):  # each pixel needs the one before it
+                left = row[c - 1].astype(np.int16)
+                if kind == 3:
+                    guess = (left + up[c]) // 2
+                else:
+                    apart = np.abs(np.stack([up[c] - up[c - 1], left - up[c - 1], left + up[c] - 2 * up[c - 1]]))
+                    guess = np.choose(apart.argmin(axis=0), [left, up[c], up[c - 1]])  # of equal ones the first
+                row[c] = (line[c - 1] + guess).astype(np.uint8)
+        else:
+            raise ValueError("unknown filter in a PNG image")
+    flat = out[1:, 1:]
+    rgba = np.full((height, width, 4), 255, dtype=np.uint8)
+    rgba[..., :3] = flat[..., :3] if channels > 2 else flat[..., :1]
+    if channels in (2, 4):
+        rgba[..., 3] = flat[..., -1]
+    return width, height, rgba.tobytes()
+
+
+def encode_png(width: int, height: int, rgba: bytes) -> bytes:
+    """An 8-bit PNG image of red-green-blue-alpha bytes."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    lines = b"".join(b"\0" + rgba[r * width * 4 : (r + 1) * width * 4] for r in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+#: Pixels in a batch of raster_pixels().
+PIXELS = 1 << 18
 
 
 def raster_pixels(images: DataFrame, id_col: str = "id", uri: str = "uri") -> DataFrame:
@@ -196,10 +250,12 @@ def raster_pixels(images: DataFrame, id_col: str = "id", uri: str = "uri") -> Da
                 if not png:
                     continue
                 width, height, flat = decode_png(png)
-                n = width * height
-                ids = batch.column("id").take(pa.array([k] * n, pa.int64()))
-                row, col = pa.array([i // width for i in range(n)], pa.int32()), pa.array([i % width for i in range(n)], pa.int32())
-                yield pa.RecordBatch.from_arrays([ids, row, col, *(pa.array(list(flat[c::4]), pa.int32()) for c in range(4))], names=["id", "row", "col", "r", "g", "b", "a"])
+                pixels = np.frombuffer(flat, dtype=np.uint8).reshape(-1, 4).astype(np.int32)
+                for at in range(0, width * height, PIXELS):
+                    part = pixels[at : at + PIXELS]
+                    n = np.arange(at, at + len(part), dtype=np.int32)
+                    ids = batch.column("id").take(pa.array(np.full(len(part), k)))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(n // width), pa.array(n % width), *(pa.array(part[:, c]) for c in range(4))], names=["id", "row", "col", "r", "g", "b", "a"])
 
     schema = T.StructType([source.schema["id"], *(T.StructField(c, T.IntegerType()) for c in ("row", "col", "r", "g", "b", "a"))])
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
@@ -209,7 +265,7 @@ def providers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PROVIDERS, "provider string, variant string, url string, attribution string, max_zoom int, options map<string,string>")
 
 
-def provider(catalog: DataFrame, name: str, rounds: int = 3) -> DataFrame:
+def provider(catalog: DataFrame, name: str) -> DataFrame:
     """url, attribution, max_zoom of "Provider" or "Provider.Variant": the variant's own values, else the provider's; attributions
     of other providers and options put in, but for keys of an account, which stay in braces. An unknown name is an error."""
     base, _, variant = name.partition(".")
@@ -221,10 +277,11 @@ def provider(catalog: DataFrame, name: str, rounds: int = 3) -> DataFrame:
     if out.isEmpty():
         raise ValueError(f"no tile provider {name}")
     others = catalog.where("variant is null").select(F.col("provider").alias("__p"), F.col("attribution").alias("__a"))
-    for _ in range(rounds):
+    # names in names, as far as they go: a chain without a circle is no longer than the catalog
+    while not out.where(F.col("attribution").rlike(r"\{attribution\.\w+\}")).isEmpty():
         named = F.nullif(F.regexp_extract("attribution", r"\{attribution\.(\w+)\}", 1), F.lit(""))
         out = out.withColumn("__n", named).join(others, F.col("__n") == F.col("__p"), "left")
-        out = out.withColumn("attribution", F.when(F.col("__a").isNotNull(), F.replace("attribution", F.concat(F.lit("{attribution."), "__n", F.lit("}")), F.col("__a"))).otherwise(F.col("attribution"))).drop("__n", "__p", "__a")
+        out = out.withColumn("attribution", F.replace("attribution", F.concat(F.lit("{attribution."), "__n", F.lit("}")), F.coalesce("__a", F.raise_error(F.concat(F.lit("no attribution of "), "__n")).cast("string")))).drop("__n", "__p", "__a")
     known = F.filter(F.map_entries("options"), lambda e: ~e.value.startswith("<insert "))
     url = F.aggregate(known, F.col("url"), lambda u, e: F.replace(u, F.concat(F.lit("{"), e.key, F.lit("}")), e.value))
     year = X.fill_template(F.col("attribution"), {"year": F.year(F.current_date())})
@@ -235,3 +292,14 @@ def tile_address(template: Column, x: Column, y: Column, z: Column, subdomains:
     """The address of a tile."""
     s = F.get(F.array(*map(F.lit, subdomains)), F.abs(x + y) % len(subdomains))
     return X.fill_template(template, {"x": x, "y": y, "z": z, "s": s, "r": F.lit("")})
+
+
+def wms_address(base: Column, layers: str, west: Column, south: Column, east: Column, north: Column, size: int = 256, version: str = "1.1.1", crs: str = "EPSG:3857", **params: str) -> Column:
+    """The address of a map image of a WMS server; from version 1.3.0 on the system is crs, and EPSG:4326 puts latitudes first."""
+    newer = tuple(map(int, version.split("."))) >= (1, 3)
+    known = {"service": "WMS", "request": "GetMap", "layers": layers, "styles": "", "format": "image/jpeg", "transparent": "false", "version": version} | params
+    known |= {"width": str(size), "height": str(size), "crs" if newer else "srs": crs}
+    sides = (south, west, north, east) if newer and crs == "EPSG:4326" else (west, south, east, north)
+    query = "&".join(f"{k}={quote(v, safe=chr(39) + '!()*~')}" for k, v in known.items())
+    joint = F.when(F.instr(base, "?") > 0, "&").otherwise("?")
+    return F.concat(base, joint, F.lit(f"{query}&bbox="), F.concat_ws(",", *(x.cast("string") for x in sides)))

@@ -28,6 +28,33 @@ def points_geometry(points: Column, precision: int = 6) -> Column:
     return F.when(F.size(points) == 1, one).otherwise(many)
 
 
+def line_geometry(points: Column, precision: int = 6) -> Column:
+    """GeoJSON text of a line."""
+    position = lambda p: F.array(round_half_up(p.x, precision), round_half_up(p.y, precision))
+    return F.to_json(F.struct(F.lit("LineString").alias("type"), F.transform(points, position).alias("coordinates")))
+
+
+def multi_polygon_geometry(polygons: Column, precision: int = 6) -> Column:
+    """GeoJSON text of several polygons, each an array of rings."""
+    position = lambda p: F.array(round_half_up(p.x, precision), round_half_up(p.y, precision))
+    rings = lambda polygon: F.transform(polygon, lambda r: F.transform(G.closed_ring(r), position))
+    return F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.transform(polygons, rings).alias("coordinates")))
+
+
+def feature_collection(features: Column) -> Column:
+    """GeoJSON text of a collection of features given as texts."""
+    return F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(features, ","), F.lit("]}"))
+
+
+def choropleth_controls(values: list[str], low: Column, high: Column, colors: list[str] = palette.YELLOW_TO_RED) -> Column:
+    """The rows that go with a choropleth, as array of structs category, grp, title, content (JSON): a legend for each value column, of
+    which only the first's is shown, and one control that switches between them."""
+    legend = F.to_json(F.struct(F.array(*map(F.lit, colors)).alias("colors"), low.alias("low"), high.alias("high"), F.lit(palette.MISSING).alias("missing")))
+    row = lambda category, grp, title, content: F.struct(F.lit(category).alias("category"), F.lit(grp).cast("string").alias("grp"), F.lit(title).cast("string").alias("title"), content.alias("content"))
+    control = F.to_json(F.struct(F.array(*map(F.lit, values)).alias("baseGroups"), F.lit(False).alias("collapsed")))
+    return F.array(*(row("control", v, v, legend) for v in values), row("layers_control", None, None, control))
+
+
 def geometry_collection(geometries: Column) -> Column:
     """GeoJSON text of a collection of geometries given as texts."""
     return F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.array_join(geometries, ","), F.lit("]}"))

@@ -3,6 +3,8 @@
 import base64
 import datetime
 import json
+import math
+import random
 import struct
 import zlib
 
@@ -12,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from gridloom import streaming
+from gridloom import plans, streaming
 from gridloom.functions import arrays as A
 from gridloom.functions import geometry as G
 from gridloom.functions import numbers as N
@@ -256,10 +258,101 @@ def test_streams(spark, tmp_path):
     batch = streaming.debounce(spark.read.parquet(str(tmp_path / "in")), "key", "ts", "5 seconds", "v")
     assert sorted((r.n, r.v) for r in batch.collect()) == [(2, 31), (3, 2)]
     stream = streaming.throttle(spark.readStream.schema("key int, ts timestamp, v int").parquet(str(tmp_path / "in")), "key", "ts", "10 seconds", "v", watermark="1 minute")
-    q = stream.writeStream.format("memory").queryName("throttled").outputMode("complete").start()
+    q = stream.writeStream.format("memory").queryName("throttled").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
-    assert sorted(r.v for r in spark.table("throttled").collect()) == [0, 30]
+    batch = streaming.throttle(spark.read.parquet(str(tmp_path / "in")), "key", "ts", "10 seconds", "v").collect()
+    assert sorted(r.v for r in spark.table("throttled").collect()) == sorted(r.v for r in batch) == [0, 30]
+
+
+def test_throttle_waits_from_the_last_event_that_passed(spark):
+    rows = [(1, s, s) for s in (59, 61, 62, 150, 209, 210)] + [(2, 0, 1), (2, 0, 0), (None, 5, 5), (2, None, 9)]
+    df = spark.createDataFrame(rows, "key int, s int, v int").withColumn("ts", F.timestamp_seconds("s"))
+    got = streaming.throttle(df, "key", "ts", "60 seconds", "v").select("key", F.unix_seconds("first_ts"), "v").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, 59, 59), (1, 150, 150), (1, 210, 210), (2, 0, 0), (None, 5, 5)]))
+    assert streaming.throttle(df.limit(0), "key", "ts", "60 seconds", "v").count() == 0
+
+
+def brute_simplify(points, tolerance):
+    """Radial distance, then the recursive form of Douglas and Peucker."""
+    kept = [points[0]]
+    for p in points[1:]:
+        if math.dist(p, kept[-1]) > tolerance:
+            kept.append(p)
+    if kept[-1] != points[-1]:
+        kept.append(points[-1])
+
+    def off(p, a, b):
+        dot = (b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2
+        t = max(0.0, min(1.0, ((p[0] - a[0]) * (b[0] - a[0]) + (p[1] - a[1]) * (b[1] - a[1])) / dot)) if dot else 0.0
+        return math.dist(p, (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
+
+    def walk(line):
+        if len(line) < 3:
+            return line
+        far = max(range(1, len(line) - 1), key=lambda k: off(line[k], line[0], line[-1]))
+        if off(line[far], line[0], line[-1]) <= tolerance:
+            return [line[0], line[-1]]
+        return walk(line[: far + 1])[:-1] + walk(line[far:])
+
+    return walk(kept)
+
+
+def test_simplified_lines_of_the_query(spark, sf_dir):
+    lines_ = {r.vec_id: [(float(k), x) for k, x in enumerate(r.embedding[:32])] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    want = {i: brute_simplify(p, 0.1) for i, p in lines_.items()}
+    got = plans.QUERIES["simplify_line"](spark, sf_dir).collect()
+    assert {r.vec_id: (r.n, r.sum_x) for r in got} == {i: (len(p), round(sum(x for x, _ in p), 6)) for i, p in want.items()}
+    assert brute_simplify([(0, 0), (1, 0.05), (2, 0), (3, 4)], 0.1) == [(0, 0), (2, 0), (3, 4)]
+
+
+@pytest.mark.parametrize("ring,want", [
+    ([(0, 0), (4, 0), (4, 4), (0, 4)], {(1, 1), (3, 1), (3, 2), (1, 2)}), ([(2, 1.5), (2.5, 1.5), (2.5, 1.75)], {(2, 1.5), (2.5, 1.5), (2.5, 1.75)}),
+    ([(0, 1.5), (2, 1.5), (2, 9)], {(1, 1.5), (2, 1.5), (2, 2), (1, 2)}), ([(7, 7), (8, 7), (8, 8)], set()), ([(2, 0), (4, 2), (2, 2)], {(3, 1), (3, 2), (2, 2), (2, 1)}),
+])
+def test_clipped_polygons_by_hand(spark, ring, want):
+    """Rings and the box from (1, 1) to (3, 2)."""
+    df = spark.createDataFrame([([{"x": float(x), "y": float(y)} for x, y in ring],)], "ring array<struct<x:double,y:double>>")
+    got = df.select(G.clip_polygon("ring", *map(F.lit, (1.0, 1.0, 3.0, 2.0))).alias("c")).first().c
+    assert {(p.x, p.y) for p in got} == want
+
+
+def test_brush_equals_all_comparisons(spark):
+    rnd = random.Random(8)
+    layers = [(f"g{k % 3}", str(k), rnd.uniform(-90, 90), rnd.uniform(-200, 200)) for k in range(400)] + [("g", "n", None, 1.0), (None, "x", 0.0, 0.0), ("g", "edge", 10.0, 20.0)]
+    boxes = [(k, s, w, s + rnd.choice([0.0, 0.01, 3.0, 80.0]), w + rnd.choice([0.0, 0.2, 40.0, 500.0])) for k in range(60) for s, w in [(rnd.uniform(-90, 60), rnd.uniform(-220, 120))]] + [(99, 10.0, 20.0, 10.0, 20.0), (98, 5.0, 5.0, 4.0, 9.0)]
+    got = L.brush(spark.createDataFrame(layers, "ct_group string, ct_key string, lat double, lng double"), spark.createDataFrame(boxes, "box_id int, south double, west double, north double, east double"))
+    want = [(b, g, k) for b, s, w, n, e in boxes for g, k, lat, lng in layers if g and lat is not None and s <= lat <= n and w <= lng <= e]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
+
+
+def test_png_filters(spark):
+    """An image whose lines use each filter in turn, undone pixel by pixel."""
+    rnd, width, height = random.Random(2), 7, 10
+    for color, channels in ((0, 1), (2, 3), (4, 2), (6, 4)):
+        image = [[[rnd.randrange(256) for _ in range(channels)] for _ in range(width)] for _ in range(height)]
+        lines = b""
+        for r, row in enumerate(image):
+            kind, line = r % 5, []
+            for c, pixel in enumerate(row):
+                for k, v in enumerate(pixel):
+                    left, up, corner = (row[c - 1][k] if c else 0), (image[r - 1][c][k] if r else 0), (image[r - 1][c - 1][k] if r and c else 0)
+                    p = left + up - corner
+                    paeth = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
+                    line.append((v - (0, left, up, (left + up) // 2, paeth)[kind]) % 256)
+            lines += bytes([kind, *line])
+        chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + b"\0\0\0\0"
+        data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, color, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+        flat = [x for row in image for p in row for x in ((p[:3] if channels > 2 else [p[0]] * 3) + ([p[-1]] if channels in (2, 4) else [255]))]
+        assert readers.decode_png(data) == (width, height, bytes(flat))
+    with pytest.raises(ValueError, match="not a PNG"):
+        readers.decode_png(b"GIF")
+
+
+def test_search_index_errors(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('{"objectID": "a", "href": ', encoding="utf-8")
+    with pytest.raises(Exception, match="MALFORMED|Malformed|malformed"):
+        readers.read_search_index(spark, str(tmp_path / "bad.json")).collect()
 
 
 numbers = st.floats(-50, 50, allow_nan=False).map(lambda x: round(x, 3))
