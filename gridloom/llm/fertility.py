@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import CACHE, Cache, cut
+from .shared import Cache, cut
 
 #: Bands by script, the same for each vocabulary: least and most characters per token, most byte-fallback share, least entropy as
 #: share of its logarithm.
@@ -62,6 +63,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: counts, as shares of the median.
 WIDTH, LEAST_DEVIATION = 5.0, (0.005, 0.014)
 GRID, PIECE = 1000, 4096
+#: Words that a worker keeps encoded: each by all vocabularies.
+WORDS = 800_000
 
 _COUNTS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("kept", "boolean"), ("script", "string")]
 _MEASURES = [("n_tokens", "long"), ("chars_per_token", "double"), ("byte_share", "double"), ("entropy", "double")]
@@ -76,6 +79,8 @@ def script_of(text: str) -> str:
     """Script of most letters; the first of SCRIPTS among equals, none without letters of these."""
     if text.isascii():
         return "latin" if re.search("[A-Za-z]", text) else "none"
+    if 2 * sum(map(len, re.findall(SCRIPTS["latin"], text))) >= len(text):
+        return "latin"
     count = {k: sum(map(len, re.findall(v, text))) for k, v in SCRIPTS.items()}
     best = max(count, key=count.__getitem__)
     return best if count[best] else "none"
@@ -99,7 +104,7 @@ def repeated_words(words: list[bytes]) -> int:
 class Vocabulary:
     """Token ids of single words, by a SentencePiece model or a file of ranked bytes (.tiktoken)."""
 
-    def __init__(self, path: str, cache: int):
+    def __init__(self, path: str):
         if path.endswith(".tiktoken"):
             import tiktoken
 
@@ -115,14 +120,16 @@ class Vocabulary:
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.encode, self.space = (lambda word: model.encode(word, num_threads=1)), ""
             self.byte = np.array([model.is_byte(i) for i in range(model.vocab_size())])
-        self.tokens = Cache(self._tokens, cache).__getitem__
 
-    def _tokens(self, word: bytes) -> bytes:
+    def tokens(self, word: bytes) -> bytes:
         text = self.space + word.decode()
+        if len(text) <= PIECE:
+            return array("I", self.encode(text)).tobytes()
         return np.array([t for at in range(0, len(text), PIECE) for t in self.encode(text[at : at + PIECE])], dtype="<u4").tobytes()
 
-    def measure(self, words: list[bytes], chars: int) -> tuple[int, float, float, float]:
-        ids = np.frombuffer(b"".join(map(self.tokens, words)), dtype="<u4")
+    def measure(self, tokens: Sequence[bytes], chars: int) -> tuple[int, float, float, float]:
+        """Of a text's words, each encoded."""
+        ids = np.frombuffer(b"".join(tokens), dtype="<u4")
         tokens = len(ids)
         _, count = np.unique(ids, return_counts=True)
         share = count / max(1, tokens)
@@ -130,8 +137,9 @@ class Vocabulary:
 
 
 class FertilityRules:
-    def __init__(self, vocabularies: tuple[str, ...], bands: dict[str, tuple[float, float, float, float]], cache: int = CACHE):
-        self.vocabularies, self.bands = [Vocabulary(path, cache // len(vocabularies)) for path in vocabularies], bands
+    def __init__(self, vocabularies: tuple[str, ...], bands: dict[str, tuple[float, float, float, float]], cache: int = WORDS):
+        self.vocabularies, self.bands = [Vocabulary(path) for path in vocabularies], bands
+        self.tokens = Cache(lambda word: tuple(v.tokens(word) for v in self.vocabularies), cache).__getitem__
 
     def measure(self, text: str) -> tuple:
         words = text.encode().split()  # bytes split on ASCII white space only
@@ -141,9 +149,10 @@ class FertilityRules:
         script = script_of(text)
         least, most, fallback_most, entropy_least = self.bands[script]
         kept = not (failed := n < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n)
-        measures = [v.measure(words, chars) for v in self.vocabularies]
-        for tokens, per_token, fallback, entropy in measures:
-            kept = kept and bool(least <= per_token <= most and fallback <= fallback_most and entropy >= entropy_least * np.log2(max(1, min(tokens, ENTROPY_TOKENS))))
+        tokens = zip(*map(self.tokens, words), strict=True) if words else ((),) * len(self.vocabularies)
+        measures = [v.measure(own, chars) for v, own in zip(self.vocabularies, tokens, strict=True)]
+        for n_tokens, per_token, fallback, entropy in measures:
+            kept = kept and bool(least <= per_token <= most and fallback <= fallback_most and entropy >= entropy_least * np.log2(max(1, min(n_tokens, ENTROPY_TOKENS))))
         return n, chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, failed, kept, script, *(x for m in measures for x in m)
 
 
