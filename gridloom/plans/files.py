@@ -35,8 +35,8 @@ def geojson_scan(spark, sf_dir):
     path = scratch(spark, "geojson")
     rows = table(spark, sf_dir, "nation").select(F.concat(F.lit('{"type":"Feature","id":"'), F.col("n_nationkey").cast("string"), F.lit('","properties":'), F.to_json(F.struct(F.col("n_name").alias("name"))), F.lit(',"geometry":{"type":"Point","coordinates":[2.5,1]}}')).alias("value"), "n_regionkey")
     collected = rows.groupBy("n_regionkey").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))
-    collected.repartition(5, "n_regionkey").select("value").write.option("lineSep", "\n").text(path)
-    found = readers.features(spark.read.text(path).where("value != ''"))
+    collected.write.partitionBy("n_regionkey").text(path)  # a file for each region
+    found = readers.read_geojson(spark, path)
     return found.select("id", F.col("properties")["name"].alias("name"), F.get(readers.lat_lngs(F.col("geometry")), 0).lng.alias("x"))
 
 
