@@ -9,6 +9,10 @@ first. The row in which the budget ends is taken in part, so that each source me
 Sources sort by code point, null last; weights repeat over them. Targets share the total by weight; a target stops at `cap`
 times its source's size, and what is left over is shared again by weight until no target is above its cap.
 
+Targets depend on all sources in one order, so one row for each source goes to one task: sources are to be some thousands, as names
+of collections are, not one for each document; more than MAX_SOURCES are an error. Texts of any length are read whole, only their
+number of words is kept.
+
 Nulls: a null source is a source, a null id has one key, a null text has size 0. Rows of size 0 take nothing. Rows that are
 equal share a key; which of them is cut doesn't show. An empty table gives no rows; other columns pass through.
 All DataFrame functions; no Python on the executors.
@@ -23,10 +27,15 @@ from pyspark.sql import functions as F
 from .shared import cut, n_words
 
 
+#: Sources at most.
+MAX_SOURCES = 1_000_000
+
+
 def share_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
     """source, source_size -> source, source_size, target. One row per source."""
     order = W.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("k", F.row_number().over(order) - 1).withColumn("w", F.get(F.array(*map(F.lit, weights)), F.col("k") % len(weights)).cast("long"))
+    place = F.row_number().over(order) - 1
+    ranked = sizes.withColumn("k", F.when(place < MAX_SOURCES, place).otherwise(F.raise_error(F.lit(f"more than {MAX_SOURCES} sources")).cast("int"))).withColumn("w", F.get(F.array(*map(F.lit, weights)), F.col("k") % len(weights)).cast("long"))
     ranked = ranked.withColumns({"most": F.col("source_size") * cap, "ratio": F.col("source_size") * cap / F.col("w").cast("double")})
     by_ratio, everything = W.orderBy("ratio", "k"), W.partitionBy()
     ranked = ranked.withColumns(
