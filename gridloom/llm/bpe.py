@@ -10,7 +10,7 @@ strings through a table of offsets.
 Texts with characters that the interpreter's Unicode tables don't have yet are normalized by the tokenizer file's own normalizer.
 
 Null texts count as empty: no tokens, an empty decoded text. Rows are independent: repeated rows, null ids and extra columns
-(which are dropped) make no difference. Memory is bounded by one batch plus a cache of CACHE words per worker.
+(which are dropped) make no difference. Memory is bounded by one batch plus a cache of WORDS words per worker.
 """
 
 from __future__ import annotations
@@ -26,7 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import CACHE, Cache
+from .shared import Cache, parts
+
+
+#: Words that a worker keeps encoded.
+WORDS = 600_000
 
 
 def byte_letters() -> list[str]:
@@ -45,7 +49,7 @@ class BpeTokenizer:
     """Encodes and decodes as the tokenizer file says. Supported: byte-level BPE with an end-of-word suffix, the normalizers
     NFC, white-space folding and lower-casing, a regex that keeps its matches, and special tokens found in raw text."""
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache: int = WORDS):
         import ahocorasick
         import regex
         from tokenizers import Regex, Tokenizer, pre_tokenizers
@@ -85,7 +89,7 @@ class BpeTokenizer:
             if z in self.rank or max(self.rank.get(x, -1), self.rank.get(y, -1)) >= rank:
                 raise ValueError("merges are not in the order of training")
             self.merge[x, y], self.left[z], self.right[z], self.rank[z] = rank, x, y, rank
-        self.fits = Cache(self._fits, 1 << 19)
+        self.fits = Cache(self._fits, 1 << 18)
         whole: dict[int, bool] = {}
         for token in sorted((t for t in vocab.values()), key=lambda t: self.rank.get(t, -1)):
             whole[token] = token not in self.rank or (whole[x := self.left[token]] and whole[y := self.right[token]] and self._first(x, y) >= self.rank[token])
@@ -222,7 +226,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        for batch in batches:
+        for batch in parts(batches):
             made: list[list] = [[] for _ in outputs]
             for text in batch.column("text").to_pylist():
                 ids = t.encode(text)
@@ -247,7 +251,7 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        for batch in batches:
+        for batch in parts(batches):
             texts = [t.decode(x or b"").decode() for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=["id", "decoded"])
 

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Cache, cut
+from .shared import Cache, cut, parts
 
 #: Bands by script, the same for each vocabulary: least and most characters per token, most byte-fallback share, least entropy as
 #: share of its logarithm.
@@ -174,7 +174,7 @@ def fertility_rules(docs: DataFrame, vocabularies: str | Sequence[str], bands: d
             _loaded[paths] = FertilityRules(paths, bands)
         rules = _loaded[paths]
         rules.bands = bands
-        for batch in batches:
+        for batch in parts(batches):
             columns = list(zip(*map(rules.measure, batch.column("text").to_pylist()), strict=True)) or [[] for _ in made]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), *(pa.array(v, kinds[k]) for v, (_, k) in zip(columns, made, strict=True))], names=["id", "lang", *(k for k, _ in made)])
 

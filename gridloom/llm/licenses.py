@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import parts
+
 GRAM, WINDOW, BAND = 3, 4, 4
 COVERAGE = 0.8
 SHORT = 2 * (GRAM + WINDOW)
@@ -372,7 +374,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = LicenseIndex(templates)
-        for batch in batches:
+        for batch in parts(batches):
             rows, at = [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 own = index.scan(text)

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut, forget
+from .shared import cut, forget, parts
 
 FIT_ROWS, FIT_BYTES, FIT_TEXT_BYTES, BLOCK = 6000, 32 << 20, 1 << 20, 512
 DICTIONARY_BYTES, LEVEL = 65536, 3
@@ -96,7 +96,7 @@ def _measure(rows: DataFrame, model: QualityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors()
-        for batch in batches:
+        for batch in parts(batches):
             made = [difference(x.encode(), compressors) for x in batch.column("text").to_pylist()]
             rest = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(made, pa.float64())], names=[*rest, "difference"])
@@ -150,7 +150,7 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors()
-        for batch in batches:
+        for batch in parts(batches):
             made = np.array([difference((x or "").encode(), compressors) for x in batch.column(at).to_pylist()])
             score = 1 / (1 + np.exp(-(model.offset + model.slope * made)))
             yield batch.filter(pa.array(score >= THRESHOLD))

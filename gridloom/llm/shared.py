@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +12,8 @@ from gridloom.session import discard, scratch
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Entries each worker keeps for words it has seen, and the longest word (characters or bytes) that it keeps.
-CACHE, CACHED_WORD = 1_000_000, 64
+#: Longest word (characters or bytes) that a cache keeps, and rows that a worker turns into Python objects at once.
+CACHED_WORD, PART_ROWS = 64, 512
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -35,6 +38,13 @@ class Cache(dict):
         return value
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of PART_ROWS rows: a worker holds one batch (bounded in bytes by the session) and the objects of one part."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder (spark.checkpoint.dir) and read it back: later steps don't recompute it, and
     it survives the loss of any executor."""
