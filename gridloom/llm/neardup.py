@@ -16,10 +16,11 @@ without words). Texts are linked if their sets' Jaccard similarity is at least P
 5. An element that members of one class only hold sets them apart from all members of other classes. A member that is apart by
    too many of these from even the member that is least so is linked with no other class, and goes before any join. So pages of one
    template, each with words of its own, are settled by counting.
-6. Members that share an element form a group. A group forms its pairs if they are at most PAIRS for each member, and they are
-   compared as in 3. In a larger group the member that is least apart becomes the new hub, all others are compared with it, and 4 to 6
-   start again with the new classes; each time PAIRS grows fourfold, so a group of g members ends after log4(g / PAIRS) rounds at
-   most. No round makes more rows than PAIRS for each member and element, and no link that all pairs would find is lost.
+6. Members of a hub that share an element form a group. The groups of a hub form their pairs if these are at most PAIRS for each
+   member in all of them, and they are compared as in 3. Else the member that is least apart becomes the new hub, all other open members
+   are compared with it, and 4 to 6 start again with the new classes; each time PAIRS grows fourfold, so g members end after
+   log4(g / PAIRS) rounds at most. No round makes more rows than PAIRS for each member and element, and no link that all pairs would
+   find is lost.
 
 A pair at the threshold t shares no band with probability (1 - t^ROWS)^bands: there are as many bands as it takes for MISS at most
 (35 for 80 percent, 24 for 85). It is dropped in 3 with MISS at most.
@@ -43,7 +44,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Cache, cut, forget
+from .shared import Cache, cut, forget, parts
 
 SHINGLE, PERCENT, ROWS = 5, 80, 5
 CHECKS, BATCH = 96, 32
@@ -130,7 +131,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Sketcher(shingle, n_bands(percent))
-        for batch in batches:
+        for batch in parts(batches):
             made = list(zip(*map(s.sketch, batch.column("text").to_pylist()), strict=True)) or [[]] * 4
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))], names=["id", "n", "digest", "signature", "bands"])
@@ -187,7 +188,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent = _Recent(Sketcher(shingle).shingles)
-        for batch in batches:
+        for batch in parts(batches):
             keep = []
             for k, (x, y) in enumerate(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)):
                 x, y = recent.of(x), recent.of(y)
@@ -205,7 +206,7 @@ def _differences(members: DataFrame, texts: DataFrame, shingle: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent = _Recent(Sketcher(shingle).shingles)
-        for batch in batches:
+        for batch in parts(batches):
             sizes, hubs, owns, out = [], [], [], []
             for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
                 x, y = recent.of(x), recent.of(y)
@@ -221,9 +222,10 @@ def _differences(members: DataFrame, texts: DataFrame, shingle: int) -> DataFram
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "node long, hub long, n long, n_hub long, own long, d array<long>")
 
 
-def _open_groups(members: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """members: node, hub, class. The members that may still be linked with one of another class, by the elements e that they share
-    (steps 4 and 5): hub, e, node, class, n, alone, rest, apart, and the group's members, pairs and next (hub)."""
+def _open_groups(members: DataFrame, texts: DataFrame, percent: int, shingle: int, per_member: float) -> tuple[DataFrame, DataFrame]:
+    """members: node, hub, class, home (the hub's class). Of the members that may still be linked with one of another class (steps 4 and
+    5), those of hubs whose groups have at most per_member pairs for each member, by the elements e that they share: hub, e, node, class, n,
+    alone, rest, rank (place of e); and those of the other hubs, with the next hub: node, hub."""
     t = percent / 100
     slack = (1 - t) / (1 + t)  # linked sets differ in at most slack * (|a| + |b|) shingles
     rows = cut(_differences(members, texts, shingle).join(members, ["node", "hub"]))
@@ -233,7 +235,7 @@ def _open_groups(members: DataFrame, texts: DataFrame, percent: int, shingle: in
     # fewest common elements with a partner of another class: a pair has a member that is not linked with the hub
     fewest = F.greatest(F.lit(1.0), F.when(near, F.ceil(size * (1 - slack) / 2 - 1e-6)).otherwise(F.ceil(size - most - 1e-6)).cast("double"))
     held = rows.withColumn("prefix", (size - fewest + 1).cast("long")).where("prefix > 0")
-    elements = held.select("hub", "node", "class", "prefix", "n", "own", F.size("d").cast("long").alias("size"), F.posexplode("d").alias("at", "e"))
+    elements = held.select("hub", "node", "class", "prefix", "n", "own", F.size("d").cast("long").alias("size"), "home", F.posexplode("d").alias("at", "e"))
     holders = elements.groupBy("hub", "e").agg(F.count("*").alias("df"), F.min("class").alias("least"), F.max("class").alias("most"))
     shared = elements.join(holders.where("least < most").select("hub", "e", "df"), ["hub", "e"])
     rank = F.row_number().over(W.partitionBy("hub", "node").orderBy(F.col("at") >= F.col("own"), "df", "e"))
@@ -241,25 +243,33 @@ def _open_groups(members: DataFrame, texts: DataFrame, percent: int, shingle: in
     shared = shared.withColumns({"rank": rank, "alone": alone}).where(F.col("rank") + F.col("alone") <= F.col("prefix"))
     # linked members differ in all elements that only one of their classes has
     apart = F.col("alone") - slack * F.col("n")
-    found = cut(shared.select("hub", "e", "node", "class", "n", "alone", (F.col("size") - F.col("alone")).alias("rest"), apart.alias("apart")))
-    least = found.groupBy("hub", "e").agg(F.min("apart").alias("least"))
-    left = cut(found.join(least, ["hub", "e"]).where(F.col("apart") + F.col("least") <= 1e-6).drop("least"))
-    by_class = left.groupBy("hub", "e", "class").agg(F.count("*").alias("c"), F.min(F.struct("apart", "node")).alias("first"))
+    found = cut(shared.select("hub", "e", "node", "class", (F.col("class") == F.col("home")).alias("at_home"), "n", "alone", (F.col("size") - F.col("alone")).alias("rest"), "rank", apart.alias("apart")))
+    by_class = found.groupBy("hub", "e", "class", "at_home").agg(F.count("*").alias("c"), F.min(F.struct("apart", "node")).alias("first"))
     squared = lambda c: c.cast("double") * c
     pairs = (squared(F.sum("c")) - F.sum(squared(F.col("c")))) / 2
-    groups = by_class.groupBy("hub", "e").agg(F.sum("c").alias("members"), pairs.alias("pairs"), F.min("first").alias("first")).where("pairs > 0")
-    out = cut(left.join(groups.select("hub", "e", "members", "pairs", F.col("first.node").alias("next")), ["hub", "e"]))
-    forget(rows, found, left)
-    return out
+    least = lambda at_home: F.min(F.when(F.col("at_home") == at_home, F.col("first.apart")))
+    groups = by_class.groupBy("hub", "e").agg(F.sum("c").alias("members"), pairs.alias("pairs"), F.min("first").alias("first"), least(True).alias("home"), least(False).alias("away")).where("pairs > 0")
+    groups = cut(groups)
+    hubs = cut(groups.groupBy("hub").agg(F.max(F.col("pairs") > F.col("members") * per_member).alias("large"), F.min("first").alias("first"), F.min("home").alias("home"), F.min("away").alias("away")))
+    other = F.when(F.col("at_home"), F.col("away")).otherwise(F.least("home", "away"))  # the least apart of any in another class, at most
+    still = F.col("apart") + other <= 1e-6
+    settled = groups.join(hubs.where("not large").select("hub"), "hub").select("hub", "e", "home", "away")
+    small = cut(found.join(settled, ["hub", "e"]).where(still).drop("apart", "at_home", "home", "away"))
+    each = found.select("hub", "node", "at_home", "apart").distinct()  # one row for each member, not for each element
+    large = each.join(hubs.where("large").select("hub", F.col("first.node").alias("next"), "home", "away"), "hub").where(still & (F.col("node") != F.col("next")))
+    again = cut(large.select("node", F.col("next").alias("hub")).distinct())
+    forget(rows, found, groups, hubs)
+    return small, again
 
 
 def _pairs(groups: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b of different classes within the groups that may still be linked."""
     t = percent / 100
-    a, b = (groups.select("hub", "e", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "alone", "rest", "class"))) for k in "ab")
+    a, b = (groups.select("hub", "e", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "alone", "rest", "rank", "class"))) for k in "ab")
     differ = (F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b"))
-    # they differ in all elements that only one of their classes has, and in as many of the others as their numbers differ by
-    apart = F.col("alone_a") + F.col("alone_b") + F.abs(F.col("rest_a") - F.col("rest_b"))
+    # at the first element that they share, they can share no more than those from there on (at a later one the pair is known already)
+    shared = 1 + F.least(F.col("rest_a") - F.col("rank_a"), F.col("rest_b") - F.col("rank_b"))
+    apart = F.col("alone_a") + F.col("rest_a") + F.col("alone_b") + F.col("rest_b") - 2 * shared
     fits = apart <= (1 - t) / (1 + t) * (F.col("n_a") + F.col("n_b")) + 1e-6
     return a.join(b, ["hub", "e"]).where(differ & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
@@ -272,8 +282,10 @@ def _hubs(buckets: DataFrame) -> DataFrame:
 
 
 def _open_members(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """node, hub, class for the members of the hubs whose members fall into several classes."""
-    classed = cut(members.join(classes.select("node", "component"), "node", "left").select("node", "hub", F.coalesce("component", "node").alias("class")))
+    """node, hub, class, home (the hub's class) for the members of the hubs whose members fall into several classes."""
+    homes = members.select("hub").distinct().join(classes.select(F.col("node").alias("hub"), F.col("component").alias("home")), "hub", "left").select("hub", F.coalesce("home", "hub").alias("home"))
+    classed = members.join(classes.select("node", "component"), "node", "left").select("node", "hub", F.coalesce("component", "node").alias("class"))
+    classed = cut(classed.join(homes, "hub"))
     several = classed.groupBy("hub").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most")
     out = cut(classed.join(several.select("hub"), "hub", "left_semi"))
     forget(classed)
@@ -306,10 +318,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     used, most = [buckets, links, members], PAIRS
     while not members.isEmpty():
         still = _open_members(members, final)
-        groups = _open_groups(still, texts, percent, shingle)
-        large = groups.where(F.col("pairs") > F.col("members") * most)
-        again = cut(large.where("node != next").select("node", F.col("next").alias("hub")).distinct())
-        pairs = cut(_pairs(groups.where(F.col("pairs") <= F.col("members") * most), percent).unionByName(again.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct())
+        groups, again = _open_groups(still, texts, percent, shingle, most)
+        pairs = cut(_pairs(groups, percent).unionByName(again.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct())
         more = linked(pairs)
         used += [still, groups, pairs, more, again]
         members, most = again, most * PAIRS_GROWTH
