@@ -318,10 +318,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     used, most = [buckets, links, members], PAIRS
     while not members.isEmpty():
         still = _open_members(members, final)
+        used.append(still)
+        if still.isEmpty():
+            break
         groups, again = _open_groups(still, texts, percent, shingle, most)
         pairs = cut(_pairs(groups, percent).unionByName(again.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct())
+        used += [groups, pairs, again]
+        if pairs.isEmpty():
+            break
         more = linked(pairs)
-        used += [still, groups, pairs, more, again]
+        used.append(more)
         members, most = again, most * PAIRS_GROWTH
         if not more.isEmpty():
             final = components(final.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
