@@ -21,8 +21,9 @@ def field_distance(field: Column, query: str) -> Column:
     if most == 0:
         return F.when(exact, F.lit(0.0))
     n = len(q.split())
-    w = F.filter(F.split(F.lower(field), r"\s+", -1), lambda x: x != "")
-    runs = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
+    words = F.filter(F.split(F.lower(field), r"\s+", -1), lambda x: x != "")
+    # a lambda works out for each element whatever isn't its own argument, so the words are bound once and the runs taken from these
+    runs = words if n == 1 else F.transform(F.array(words), lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))))[0]
     changes = F.array_min(F.filter(F.transform(runs, lambda r: F.levenshtein(r, F.lit(q), most)), lambda d: d >= 0))
     return F.when(exact, F.lit(0.0)).otherwise(changes / len(q))
 

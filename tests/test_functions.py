@@ -6,6 +6,7 @@ import json
 import math
 import random
 import struct
+import time
 import zlib
 
 import pytest
@@ -169,6 +170,16 @@ def test_fields_and_cells(spark):
     assert R.rename_present(df, {"url": "href", "x": "nothing"}).columns == ["url", "title"]
 
 
+def test_fuzzy_search_in_long_texts(spark):
+    """The words of a text are taken apart once, not once for each word (which took more than a minute)."""
+    text = " ".join(f"word{k:06d}" for k in range(30_000))
+    df = spark.createDataFrame([(text + " mistypedterm",), (text + " two misplaced  words",), ("misplaced",), (" ",), (None,)], "text string").coalesce(1)
+    began = time.perf_counter()
+    one, two = S.field_distance(F.col("text"), "mistypedtern"), S.field_distance(F.col("text"), "misplaced wards")
+    assert [tuple(r) for r in df.select(one, two).collect()] == [(1 / 12, None), (None, 1 / 15), (None, None), (None, None), (None, None)]
+    assert time.perf_counter() - began < 30
+
+
 def test_search_and_groups(spark):
     docs = spark.createDataFrame([("p.html#a", "one", "", "Garnet news"), ("p.html", "Garnet", "", ""), ("q.html", "x", "", "garent blog"), ("r.html", "y", "", "none")], "href string, title string, section string, text string")
     hits = S.search(docs, "garnet").collect()
