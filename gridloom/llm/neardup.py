@@ -13,6 +13,8 @@ without words). Texts are linked if their sets' Jaccard similarity is at least P
    the difference D(x) between x's and the hub's sets, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles. A link
    between classes therefore needs a common part of D(x) and D(y), which must show in the first elements of each (prefix filter,
    those that x has and the hub lacks first, then those that the hub has and x lacks, the rarer ones first of either kind).
+   A hub with at most LOCAL_MEMBERS members and LOCAL_HASHES elements in their differences is settled by one task at once: the sizes of
+   D(x), D(y) and of their common part give the similarity of x and y exactly. Steps 5 and 6 are for larger hubs.
 5. An element that members of one class only hold sets them apart from all members of other classes. A member that is apart by
    too many of these from even the member that is least so is linked with no other class, and goes before any join. So pages of one
    template, each with words of its own, are settled by counting.
@@ -54,6 +56,11 @@ WORDS = 300_000
 #: Pairs for each member that a group may form before it gets a hub of its own; PAIRS_GROWTH times as many in each further round.
 PAIRS, PAIRS_GROWTH = 16, 4
 
+#: Open members of a hub, and hashes in all their differences from it, that one task settles (up to some 300 MB of a worker's memory).
+LOCAL_MEMBERS, LOCAL_HASHES = 4096, 2_000_000
+#: Elements with more holders are counted by a product of matrices, the others by listing their holders' pairs.
+LISTED = 32
+
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -222,6 +229,89 @@ def _differences(members: DataFrame, texts: DataFrame, shingle: int) -> DataFram
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "node long, hub long, n long, n_hub long, own long, d array<long>")
 
 
+def _shared(e: np.ndarray, x: np.ndarray, m: int) -> np.ndarray:
+    """m x m: how many elements two members have in common. e, x: elements and their holders, in the order of e."""
+    out = np.zeros((m, m), dtype=np.float32)
+    _, start, df = np.unique(e, return_index=True, return_counts=True)
+    for k in np.unique(df[(df > 1) & (df <= LISTED)]):
+        first, second = np.triu_indices(k, 1)
+        starts, step = start[df == k], max(1, (1 << 20) // len(first))
+        for at in range(0, len(starts), step):
+            held = x[starts[at : at + step, None] + np.arange(k)]
+            key, n = np.unique(held[:, first].astype(np.int64).ravel() * m + held[:, second].ravel(), return_counts=True)
+            np.add.at(out, (key // m, key % m), n.astype(np.float32))
+    many = np.flatnonzero(df > LISTED)
+    out += out.T
+    for at in range(0, len(many), 1024):
+        part = many[at : at + 1024]
+        rows = np.concatenate([x[start[k] : start[k] + df[k]] for k in part])
+        held = np.zeros((m, len(part)), dtype=np.float32)
+        held[rows, np.repeat(np.arange(len(part)), df[part])] = 1
+        out += held @ held.T
+    return out
+
+
+def local_links(node: np.ndarray, group: np.ndarray, n: np.ndarray, differ: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of different classes (group), as many as it takes to join all classes that links between these members join.
+    differ: what each member's set, of size n, differs in from the same set."""
+    slack = (100 - percent) / (100 + percent)
+    size = np.array([len(d) for d in differ], dtype=np.int64)
+    _, group = np.unique(group, return_inverse=True)
+    _, e = np.unique(np.concatenate(differ), return_inverse=True)
+    x = np.repeat(np.arange(len(node)), size)
+    least, most = np.full(len(e), len(node)), np.full(len(e), -1)
+    np.minimum.at(least, e, group[x])
+    np.maximum.at(most, e, group[x])
+    common = (least < most)[e]  # held in several classes: linked members differ in all others
+    apart = size - np.bincount(x[common], minlength=len(node)) - slack * n
+    by_class = np.full(group.max() + 1, np.inf)
+    np.minimum.at(by_class, group, apart)
+    best, second = np.append(np.argsort(by_class, kind="stable"), [0, 0])[:2], np.append(np.sort(by_class), np.inf)[:2]
+    open_ = apart + np.where(group == best[0], second[1], second[0]) <= 1e-6
+    left = np.flatnonzero(open_)
+    if len(left) < 2:
+        return []
+    place = np.cumsum(open_) - 1
+    common &= open_[x]
+    order = np.lexsort((x[common], e[common]))
+    both = _shared(e[common][order], place[x[common][order]], len(left))
+    node, group, n, size, out = node[left], group[left], n[left], size[left], []
+    for i in range(len(left)):
+        apart_i = size[i] + size - 2 * both[i].astype(np.int64)
+        meet = (n[i] + n - apart_i) // 2  # a whole number: the sizes of two sets differ from that of their difference by an even one
+        linked = (100 * meet >= percent * (n[i] + n - meet)) & (group != group[i])
+        while linked.any():
+            j = int(np.argmax(linked))
+            out.append((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))))
+            group[group == group[j]] = group[i]
+            linked &= group != group[i]
+    return out
+
+
+def _local(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between classes within each hub, for hubs whose members one task can hold."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, group, n = (table.column(c).to_numpy() for c in ("node", "class", "n"))
+        d = table.column("d").combine_chunks()
+        values, ends = d.flatten().to_numpy(), np.concatenate([[0], np.cumsum(d.value_lengths().to_numpy())])
+        links = local_links(node, group, n, [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], percent)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return rows.select("hub", "node", "class", "n", "d").groupBy("hub").applyInArrow(run, "a long, b long")
+
+
+def _settle_local(members: DataFrame, texts: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """members: node, hub, class, home. Links a, b between classes within the hubs that one task can hold; the members of the others."""
+    rows = cut(_differences(members.select("node", "hub"), texts, shingle).join(members, ["node", "hub"]))
+    sizes = rows.groupBy("hub").agg(F.count("*").alias("members"), F.sum(F.size("d").cast("long")).alias("hashes"))
+    large = cut(sizes.where((F.col("members") > LOCAL_MEMBERS) | (F.col("hashes") > LOCAL_HASHES)).select("hub"))
+    links = cut(_local(rows.join(large, "hub", "left_anti"), percent))
+    rest = cut(members.join(large, "hub", "left_semi"))
+    forget(rows, large)
+    return links, rest
+
+
 def _open_groups(members: DataFrame, texts: DataFrame, percent: int, shingle: int, per_member: float) -> tuple[DataFrame, DataFrame]:
     """members: node, hub, class, home (the hub's class). Of the members that may still be linked with one of another class (steps 4 and
     5), those of hubs whose groups have at most per_member pairs for each member, by the elements e that they share: hub, e, node, class, n,
@@ -321,14 +411,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         used.append(still)
         if still.isEmpty():
             break
-        groups, again = _open_groups(still, texts, percent, shingle, most)
-        pairs = cut(_pairs(groups, percent).unionByName(again.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct())
-        used += [groups, pairs, again]
-        if pairs.isEmpty():
+        found, rest = _settle_local(still, texts, percent, shingle)
+        used += [found, rest]
+        if rest.isEmpty():
+            if not found.isEmpty():
+                final = components(final.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
             break
+        groups, again = _open_groups(rest, texts, percent, shingle, most)
+        pairs = cut(_pairs(groups, percent).unionByName(again.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct())
         more = linked(pairs)
-        used.append(more)
+        used += [groups, pairs, again, more]
         members, most = again, most * PAIRS_GROWTH
+        more = more.unionByName(found)
         if not more.isEmpty():
             final = components(final.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     forget(*used, texts)

@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.llm import components as components_module
 from gridloom.llm import neardup
 from gridloom.llm.components import components
 from gridloom.llm.queries import QUERIES
@@ -152,6 +154,65 @@ def test_large_groups_get_hubs_of_their_own(spark, monkeypatch, hard_rows):
     assert result(neardup.near_duplicates(spark.createDataFrame(hard_rows, SCHEMA), percent=85)) == brute(hard_rows, 85)
 
 
+def test_few_tables_for_a_group_below_the_threshold(spark, monkeypatch):
+    """Near copies of one text, many just below the threshold: a hub that one task can hold takes no further rounds of joins, so the
+    number of tables written stays small (15; 30 in rounds before)."""
+    rnd, written, cut = random.Random(4), [], neardup.cut
+    base = [f"w{k}" for k in range(150)]
+    rows = list(enumerate(edited(base, rnd.randrange(3, 12), rnd) for _ in range(700)))
+    for module in (neardup, components_module):
+        monkeypatch.setattr(module, "cut", lambda df: written.append(df) or cut(df))
+    assert result(neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), percent=85)) == brute(rows)
+    assert len(written) <= 20
+
+
+@pytest.mark.parametrize(("members", "hashes", "pairs"), [(0, 10**9, 16), (0, 10**9, 0.05), (40, 10**9, 0.05), (10**9, 2000, 0.05)])
+def test_hubs_too_large_for_one_task(spark, monkeypatch, hard_rows, members, hashes, pairs):
+    """The same classes if all hubs or some of them are settled by joins."""
+    for name, value in (("LOCAL_MEMBERS", members), ("LOCAL_HASHES", hashes), ("PAIRS", pairs)):
+        monkeypatch.setattr(neardup, name, value)
+    assert result(neardup.near_duplicates(spark.createDataFrame(hard_rows, SCHEMA), percent=85)) == brute(hard_rows, 85)
+
+
+@pytest.mark.parametrize("n", [800, 3200])
+def test_templated_pages_by_joins(spark, monkeypatch, n):
+    monkeypatch.setattr(neardup, "LOCAL_MEMBERS", 0)
+    test_templated_pages_grow_linearly(spark, monkeypatch, n)
+
+
+def test_templated_pages_with_links_by_joins(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LOCAL_MEMBERS", 0)
+    test_templated_pages_with_links(spark, monkeypatch, {"twins": True, "light": 60})
+
+
+@pytest.mark.parametrize("listed", [0, 2, 32])
+def test_links_within_one_task(monkeypatch, listed):
+    """Links join the classes that all pairs would, and no more of them than it takes."""
+    monkeypatch.setattr(neardup, "LISTED", listed)
+    rnd = random.Random(listed)
+    for percent in (80, 85) * 20:
+        sets, base = [], frozenset(range(100))
+        for _ in range(rnd.randrange(1, 50)):
+            s = set(rnd.choice(sets) if sets and rnd.random() < 0.6 else base)
+            for _ in range(rnd.randrange(14)):
+                s.discard(rnd.randrange(100))
+                s.add(rnd.randrange(1000, 1000 + rnd.choice([30, 10**5])))
+            sets.append(s)
+        classes = [rnd.randrange(len(sets)) for _ in sets]
+
+        def joined(pairs, classes=classes):
+            at = {c: c for c in classes}
+            for a, b in pairs:
+                old, new = at[classes[a]], at[classes[b]]
+                at = {c: new if x == old else x for c, x in at.items()}
+            return {frozenset(c for c in at if at[c] == x) for x in at.values()}
+
+        every = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+        differ = [np.array(sorted(s ^ base), dtype=np.int64) for s in sets]
+        links = neardup.local_links(np.arange(len(sets)), np.array(classes), np.array([len(s) for s in sets]), differ, percent)
+        assert joined(links) == joined(every) and len(joined(links)) == len(set(classes)) - len(links)
+
+
 def test_edge_cases(spark):
     long = " ".join(f"w{k % 977}" for k in range(60_000))
     rows = [(1, None, "x"), (2, "", "x"), (3, " \n\t", None), (4, "One two", "x"), (5, "one  TWO", "x"), (6, long, "x"), (7, long + " end", "x"), (8, "one two", None), (None, "one two", "x"), (9, "é É", "x"), (10, "É é", "x")]
